@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from .q_quality import op4_quality_rules
 from .q_urls import OP9_SQL, op9_url_filter
 
-QUERIES = {"op9_url_filter": op9_url_filter}
+QUERIES = {"op4_quality_rules": op4_quality_rules, "op9_url_filter": op9_url_filter}
 ORACLES = {"op9_url_filter": OP9_SQL}
