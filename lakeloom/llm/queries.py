@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from .q_neardup import OP3_SQL, op3_minhash_near_dedup
 from .q_quality import op4_quality_rules
 from .q_urls import OP9_SQL, op9_url_filter
 
-QUERIES = {"op4_quality_rules": op4_quality_rules, "op9_url_filter": op9_url_filter}
-ORACLES = {"op9_url_filter": OP9_SQL}
+QUERIES = {"op3_minhash_near_dedup": op3_minhash_near_dedup, "op4_quality_rules": op4_quality_rules, "op9_url_filter": op9_url_filter}
+ORACLES = {"op3_minhash_near_dedup": OP3_SQL, "op9_url_filter": OP9_SQL}
