@@ -2,18 +2,20 @@
 
 1. Texts with equal shingle sets form a class; its least id stands for it.
 2. The signatures of these representatives are cut into bands. All that share a band
-   key meet in a bucket, and each is compared with the bucket's least id only.
-3. Pairs whose signatures agree in `screen` of the places or more are confirmed on the
-   full shingle sets, and components are formed.
+   key meet in a bucket, and each is compared with the bucket's leader only: the text
+   that meets most others over all its buckets, so the least altered of a group of copies.
+3. Pairs whose signatures agree in enough places are confirmed on the full shingle
+   sets, and components are formed.
 4. A bucket whose rows now lie in one component needs no more. In any other, the rows
-   outside the component of the least id are compared with all rows of other
-   components: blocks of signatures meet in one task each, and only pairs that pass the
-   screen leave it. They are confirmed like the others.
+   outside the leader's component are compared with all rows of other components: blocks
+   meet in one task each, signatures first, then full sets, and what leaves the task is at
+   most one confirmed link for each row and component. A pair that shares several bands
+   is compared in the first of them only.
 
 So no two rows of a bucket are left unlinked that a comparison of all pairs would have
 linked, while a bucket of copies costs one comparison a row. Two texts at a similarity
-of 0.75 share none of 32 bands of 4 rows with a probability of 5e-6; the screen is six
-standard deviations of a 128-place estimate below the threshold.
+of 0.75 share none of 32 bands of 4 rows with a probability of 5e-6; the least agreement
+asked for is five standard deviations of a 128-place estimate below the threshold.
 
 Null and empty texts, and texts of blanks, have no shingles: they are linked with
 nothing and kept. A row without an id is linked with nothing, has a null component and
@@ -36,7 +38,8 @@ from .components import components
 from .words import slices
 
 PLACES, BANDS = 128, 32
-LEFT_BLOCK, RIGHT_BLOCK = 1024, 4096
+LEFT_BLOCK, RIGHT_BLOCK = 512, 4096
+FILTER_BITS = 1 << 24
 
 
 def _signed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -90,46 +93,98 @@ def _confirmed(batches: Iterator[pa.RecordBatch], width: int, part: int, whole:
 
         linked = []
         for x, y in zip(sets(batch.column(2)), sets(batch.column(3)), strict=True):
-            both = len(np.intersect1d(x, y, assume_unique=True))
+            both = _common(x, y) if len(x) and len(y) else 0
             linked.append(both > 0 and whole * both >= part * (len(x) + len(y) - both))
         yield batch.select([0, 1]).filter(pa.array(linked, pa.bool_()))
 
 
-def _across(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of a block's left rows with its right rows of other components that pass the screen.
+def _bands(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.flatten()).reshape(-1, BANDS)
 
-    Rows (cell, role, id, comp, outside, sig) arrive sorted by cell and role, left rows first.
+
+def _sets(texts: pa.Array, width: int) -> list[np.ndarray]:
+    elements, offsets = sm.shingles(texts, width)
+    return [elements[offsets[i] : offsets[i + 1]] for i in range(len(texts))]
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """Elements that two sorted sets share."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    return int((y[at] == x).sum())
+
+
+class _Cell:
+    """The left rows of one cell, and the (left row, component) pairs that are linked already."""
+
+    def __init__(self) -> None:
+        self.ids = self.comps = np.zeros(0, dtype=np.int64)
+        self.sigs = np.zeros((0, PLACES), dtype=np.uint8)
+        self.bands = np.zeros((0, BANDS), dtype=np.int64)
+        self.sets: list[np.ndarray] = []
+        self.linked: set[tuple[int, int]] = set()
+
+    def add(self, ids, comps, sigs, bands, sets) -> None:
+        self.ids, self.comps = np.concatenate([self.ids, ids]), np.concatenate([self.comps, comps])
+        self.sigs, self.bands = np.vstack([self.sigs, sigs]), np.vstack([self.bands, bands])
+        self.sets += sets
+
+    def candidates(self, band: int, ids, comps, outside, sigs, bands, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """(right, left) rows of other components to confirm here; two outside rows meet once."""
+        found = []
+        for lo in range(0, len(ids), 64):
+            cut = slice(lo, lo + 64)
+            open_ = self.comps[None, :] != comps[cut, None]
+            open_ &= ~(outside[cut, None] & (self.ids[None, :] <= ids[cut, None]))
+            right, left = np.nonzero(open_)
+            for at in range(0, len(right), 8192):
+                r, x = right[at : at + 8192] + lo, left[at : at + 8192]
+                near = (self.sigs[x] == sigs[r]).sum(axis=1) >= least
+                r, x = r[near], x[near]
+                here = (self.bands[x] == bands[r]).argmax(axis=1) == band
+                found.append((r[here], x[here]))
+        return tuple(np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.zeros(0, dtype=np.int64),) * 2
+
+
+def _across(batches: Iterator[pa.RecordBatch], width: int, least: int, part: int, whole: int) -> Iterator[pa.RecordBatch]:
+    """Links between a cell's left rows and its right rows of other components.
+
+    Rows (cell, band, role, id, comp, outside, sig, bands, text) arrive sorted by cell and
+    role, left rows first. One link for each left row and component is enough.
     """
-    cell, left, left_sig = None, None, None
+    cell, held = None, _Cell()
     for batch in batches:
-        cells = np.asarray(batch.column(0))
-        roles, ids, comps, outside = (np.asarray(batch.column(i)) for i in range(1, 5))
-        sigs = _matrix(batch.column(5))
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        edges = np.flatnonzero(np.diff(cells)) + 1
+        cells, band, roles, ids, comps, outside = (np.asarray(batch.column(i)) for i in range(6))
+        sigs, bands, texts = _matrix(batch.column(6)), _bands(batch.column(7)), batch.column(8)
+        links: list[tuple[int, int]] = []
+        edges = (np.flatnonzero(np.diff(cells)) + 1).tolist()
         for s, e in zip([0, *edges], [*edges, len(cells)], strict=True):
             if s == e:
                 continue
             if cells[s] != cell:
-                cell, left, left_sig = cells[s], np.zeros((0, 2), dtype=np.int64), np.zeros((0, PLACES), dtype=np.uint8)
+                cell, held = cells[s], _Cell()
             cut = s + int(np.searchsorted(roles[s:e], 1))
             if cut > s:
-                left = np.vstack([left, np.stack([ids[s:cut], comps[s:cut]], axis=1)])
-                left_sig = np.vstack([left_sig, sigs[s:cut]])
-            for lo in range(cut, e, 64) if len(left) else ():
-                hi = min(e, lo + 64)
-                agree = (left_sig[:, None, :] == sigs[None, lo:hi, :]).sum(axis=2) >= least
-                agree &= left[:, 1:2] != comps[None, lo:hi]
-                agree &= ~(outside[None, lo:hi] & (left[:, :1] <= ids[None, lo:hi]))
-                i, j = np.nonzero(agree)
-                found.append((left[i, 0], ids[lo:hi][j]))
-        if found:
-            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                held.add(ids[s:cut], comps[s:cut], sigs[s:cut], bands[s:cut], _sets(texts.slice(s, cut - s), width))
+            if cut == e or not len(held.ids):
+                continue
+            right, left = held.candidates(int(band[s]), ids[cut:e], comps[cut:e], outside[cut:e], sigs[cut:e], bands[cut:e], least)
+            used, place = np.unique(right, return_inverse=True)
+            own = _sets(texts.take(pa.array(used + cut)), width)
+            for k, r, x in zip(place.tolist(), (right + cut).tolist(), left.tolist(), strict=True):
+                if (x, comps[r]) in held.linked:
+                    continue
+                both = _common(held.sets[x], own[k])
+                if both and whole * both >= part * (len(held.sets[x]) + len(own[k]) - both):
+                    held.linked.add((x, comps[r]))
+                    links.append((held.ids[x], ids[r]))
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["a", "b"])
 
 
 def _blocks(met: DataFrame) -> DataFrame:
-    """Rows (bkey, id, lead_comp, comp) of mixed buckets, dealt to the cells where blocks meet."""
+    """Rows (bkey, band, id, lead_comp, comp) of mixed buckets, dealt to the cells where blocks meet."""
     sizes = met.groupBy("bkey").agg(F.count("*").alias("n"), F.count_if(F.expr("comp <> lead_comp")).alias("n_out"))
     met = met.join(sizes.filter("n_out > 0"), "bkey").withColumn("outside", F.expr("comp <> lead_comp"))
     lefts, rights = F.ceil(F.col("n_out") / LEFT_BLOCK).cast("int"), F.ceil(F.col("n") / RIGHT_BLOCK).cast("int")
@@ -138,7 +193,21 @@ def _blocks(met: DataFrame) -> DataFrame:
     as_left = F.when(F.col("outside"), F.transform(F.sequence(F.lit(0), rights - 1), lambda r: F.struct(own_left.alias("l"), r.alias("r"), F.lit(0).alias("role")))).otherwise(F.array().cast("array<struct<l:int,r:int,role:int>>"))
     as_right = F.transform(F.sequence(F.lit(0), lefts - 1), lambda x: F.struct(x.alias("l"), own_right.alias("r"), F.lit(1).alias("role")))
     dealt = met.withColumn("x", F.explode(F.concat(as_left, as_right)))
-    return dealt.select(F.xxhash64("bkey", "x.l", "x.r").alias("cell"), F.col("x.role").alias("role"), "id", "comp", "outside")
+    return dealt.select(F.xxhash64("bkey", "x.l", "x.r").alias("cell"), "band", F.col("x.role").alias("role"), "id", "comp", "outside")
+
+
+def texts_of(docs: DataFrame, key: str, text: str, nodes: DataFrame) -> DataFrame:
+    """(id, t) of a superset of the rows whose id is in nodes.
+
+    A hashed bit table of FILTER_BITS, kept as 64-bit words, is broadcast: at most
+    FILTER_BITS / 64 rows, whatever the number of nodes. It only spares the shuffle
+    texts that no join wants; the join behind it decides.
+    """
+    place = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    spot = {"word": F.shiftright(place, 6).cast("int"), "bit": place.bitwiseAND(F.lit(63)).cast("int")}
+    words = nodes.select("id").withColumns(spot).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t")).withColumns(spot)
+    return rows.join(F.broadcast(words), "word").filter(F.expr("bits & shiftleft(1L, bit) <> 0")).select("id", "t")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, part: int = 75, whole: int = 100) -> DataFrame:
@@ -147,7 +216,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     Two texts are linked if whole * |both| >= part * |either| for their sets of distinct
     `width`-word shingles. part / whole below 0.6 needs more bands than BANDS.
     """
-    least = int(PLACES * max(0.0, part / whole - 6 * (part / whole * (1 - part / whole) / PLACES) ** 0.5))
+    least = int(PLACES * max(0.0, part / whole - 5 * (part / whole * (1 - part / whole) / PLACES) ** 0.5))
     signed = stored(signed_table(docs, key, text, width), "signed")
     classes = signed.filter("n_shingles > 0 and id is not null").groupBy("n_shingles", "k1", "k2").agg(F.min("id").alias("rep"))
     own = signed.join(classes, ["n_shingles", "k1", "k2"], "left")
@@ -160,35 +229,37 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         reps = reps.dropDuplicates(["id", "sig"])
     sigs = reps.select("id", "sig")
 
-    banded = reps.select("id", F.explode("bands").alias("bkey"))
-    buckets = banded.groupBy("bkey").agg(F.min("id").alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    met = stored(banded.join(buckets, "bkey"), "buckets")
+    banded = reps.select("id", F.posexplode("bands").alias("band", "bkey"))
+    buckets = banded.groupBy("bkey").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = stored(banded.join(buckets, "bkey"), "buckets")
+    central = shared.groupBy("id").agg(F.sum("n").alias("met"))
+    ranked = shared.join(central, "id").select("bkey", "band", "id", "met")
+    leaders = ranked.groupBy("bkey").agg(F.max(F.struct("met", (-F.col("id")).alias("less"))).alias("x")).select("bkey", (-F.col("x.less")).alias("lead"))
+    met = stored(ranked.drop("met").join(leaders, "bkey"), "met")
 
     def screened(pairs: DataFrame) -> DataFrame:
         full = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
         return full.select("a", "b", "sa", "sb").mapInArrow(lambda x: _screened(x, least), "a long, b long")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        texts = stored(docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("t")).join(nodes, "id"), "texts")
+        texts = texts_of(docs, key, text, pairs.select(F.col("a").alias("id")).union(pairs.select("b"))).hint("merge")
         full = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
         return stored(full.select("a", "b", "ta", "tb").mapInArrow(lambda x: _confirmed(x, width, part, whole), "a long, b long"), "links")
 
-    first_pairs = stored(screened(met.filter("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()), "pairs")
-    links = confirmed(first_pairs)
+    to_leaders = met.filter("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
+    links = confirmed(stored(screened(to_leaders), "pairs"))
     links = links.union(marked.filter("id <> rep").join(repeated, "id").select(F.col("id").alias("a"), F.col("rep").alias("b")))
     comp = components(links)
 
     at = met.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
     leads = at.filter("id = lead").select("bkey", F.col("comp").alias("lead_comp"))
-    cells = _blocks(at.join(leads, "bkey").select("bkey", "id", "lead_comp", "comp"))
-    cells = cells.join(sigs, "id").select("cell", "role", "id", "comp", "outside", "sig")
-    cells = cells.repartition("cell").sortWithinPartitions("cell", "role")
-    more = stored(cells.mapInArrow(lambda x: _across(x, least), "a long, b long").distinct().join(first_pairs, ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        found = confirmed(more)
-        if not found.isEmpty():
-            comp = components(links.union(found))
+    cells = stored(_blocks(at.join(leads, "bkey").select("bkey", "band", "id", "lead_comp", "comp")), "cells")
+    texts = texts_of(docs, key, text, cells).hint("merge")
+    cells = cells.join(reps.select("id", "sig", "bands"), "id").join(texts, "id")
+    cells = cells.select("cell", "band", "role", "id", "comp", "outside", "sig", "bands", F.col("t")).repartition("cell").sortWithinPartitions("cell", "role")
+    found = stored(cells.mapInArrow(lambda x: _across(x, width, least, part, whole), "a long, b long"), "links")
+    if not found.isEmpty():
+        comp = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
 
     grouped = marked.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
     out = grouped.select(F.col("id").alias(key), "n_shingles", F.coalesce("component", "rep").alias("component_id"))
