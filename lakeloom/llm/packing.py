@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import PartEncoder, tokenizer_path
+from .tokens import encoder, tokenizer_path
 from .words import slices
 
 SCHEMA = "id long, piece int, start long, length long, ids binary, sequence_id long, offset long"
@@ -70,7 +70,7 @@ def _cut(data: bytes, capacity: int) -> list[tuple[int, bytes]]:
 
 
 def _packed(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int, open_bins: int, window_tokens: int) -> Iterator[pa.RecordBatch]:
-    encoder, packer = PartEncoder(path, drops_blanks=True), BestFit(capacity, open_bins)
+    coder, packer = encoder(path, True), BestFit(capacity, open_bins)
     base = TaskContext.get().partitionId() << 40
     end = np.array([end_id], dtype="<u4").tobytes()
     waiting: list[tuple[int | None, int, bytes]] = []
@@ -94,8 +94,8 @@ def _packed(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id:
 
     for batch in batches:
         texts = batch.column(1).fill_null("")
-        for a, b in slices(texts):
-            coded = encoder.encode(texts.slice(a, b - a).cast(pa.binary()).to_pylist())
+        for a, b in slices(texts, 2 << 20):
+            coded = coder.encode(texts.slice(a, b - a).cast(pa.binary()).to_pylist())
             for key, data in zip(batch.column(0).slice(a, b - a).to_pylist(), coded, strict=True):
                 waiting.extend((key, piece, ids) for piece, ids in _cut(data + end, capacity))
                 held += len(data) // 4 + 1
@@ -105,7 +105,7 @@ def _packed(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id:
     yield from flush()
 
 
-def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, capacity: int = 2048, end_id: int = 0, open_bins: int = 4096, window_tokens: int = 8_000_000) -> DataFrame:
+def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, capacity: int = 2048, end_id: int = 0, open_bins: int = 4096, window_tokens: int = 4_000_000) -> DataFrame:
     """One row per piece: key, piece, start, length, ids (little-endian unsigned 32-bit), sequence_id, offset."""
     path = tokenizer or tokenizer_path("word_bpe_49k.json")
     rows = docs.select(F.col(key).cast("long"), F.col(text).cast("string"))

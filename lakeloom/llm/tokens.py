@@ -9,7 +9,9 @@ emptied when it holds `most_parts`, so memory does not grow with the input.
 
 from __future__ import annotations
 
+import unicodedata
 from array import array
+from functools import lru_cache
 
 import numpy as np
 
@@ -23,6 +25,17 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def _is_plain(t: str) -> bool:
+    """Letters only, lower case and composed: what lower-casing and composing leave as it is."""
+    return t.isalpha() and t == t.lower() and (t.isascii() or unicodedata.is_normalized("NFC", t))
+
+
+@lru_cache(maxsize=4)
+def encoder(path: str, drops_blanks: bool) -> PartEncoder:
+    """One encoder for all tasks of a worker process."""
+    return PartEncoder(path, drops_blanks)
+
+
 class PartEncoder:
     """encode(UTF-8 texts) -> their ids, packed as little-endian unsigned 32-bit numbers.
 
@@ -32,7 +45,7 @@ class PartEncoder:
     the end of a part are looked up apart. Otherwise a space stays with the part it precedes.
     """
 
-    def __init__(self, path: str, drops_blanks: bool, most_parts: int = 800_000):
+    def __init__(self, path: str, drops_blanks: bool, most_parts: int = 300_000):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
@@ -41,14 +54,19 @@ class PartEncoder:
         vocabulary = self._tokenizer.get_vocab()
         self._ends = np.zeros(1 + max(vocabulary.values(), default=0), dtype=bool)
         self._ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        if drops_blanks:  # the same model without normalizer, for words that it would not change
+            from tokenizers import pre_tokenizers
+
+            self._bare = Tokenizer(self._tokenizer.model)
+            self._bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
 
     def _learn(self, parts: list[bytes]) -> None:
         """Encode parts; letters-only ones many at a time, told apart by the ids that end a word."""
         texts = [p.decode() for p in parts]
         if self._drops and self._ends.any():
-            pure = [(p, t) for p, t in zip(parts, texts, strict=True) if t.isalpha()]
+            pure = [(p, t) for p, t in zip(parts, texts, strict=True) if _is_plain(t)]
             runs = [pure[i : i + 256] for i in range(0, len(pure), 256)]
-            coded = self._tokenizer.encode_batch_fast([" ".join(t for _, t in run) for run in runs], add_special_tokens=False)
+            coded = self._bare.encode_batch_fast([" ".join(t for _, t in run) for run in runs], add_special_tokens=False)
             for run, c in zip(runs, coded, strict=True):
                 ids = np.array(c.ids, dtype="<u4")
                 ends = np.flatnonzero(self._ends[ids]) + 1
@@ -70,7 +88,7 @@ class PartEncoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if len(self._held) > self._most:
-            self._held = {}
+            self._held.clear()
         held = self._held
         parts = [self._parts(t) for t in texts]
         new = set().union(*parts) - held.keys()
