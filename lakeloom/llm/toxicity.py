@@ -1,9 +1,10 @@
 """Toxicity by maximum-scoring segments over token log-odds.
 
-Learning. Words (A-Z lower-cased) are hashed to BUCKETS places. One pass over all
-documents counts each place in the corpus, in toxic and in clean training rows. The
-corpus counts make an informative Dirichlet prior of `prior_tokens` tokens for either
-class; a place whose log-odds between the classes exceed `least_z` standard errors gets
+Learning. Words (runs of letters and digits, A-Z lower-cased) are hashed to BUCKETS places. One pass over all
+documents counts the words of each place in the corpus, and the toxic and the clean
+training rows that hold it (rows, since a word that one row repeats is one piece of
+evidence). A Dirichlet prior for either class has `prior_flat` for each place and
+`prior_corpus` shared out like the corpus counts; a place whose log-odds between the classes exceed `least_z` standard errors gets
 them as its weight, all others weigh -drift. The weights are one dense table of
 BUCKETS floats (4 MB), which bounds what is broadcast whatever the corpus holds.
 
@@ -53,12 +54,14 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, labels = batch.column(0), batch.column(1).fill_null(-1).to_numpy(zero_copy_only=False)
         for a, b in slices(texts):
-            words = hash_words(texts.slice(a, b - a))
-            places, marks = _places(words.hashes), np.repeat(labels[a:b], words.counts)
+            words = hash_words(texts.slice(a, b - a), letters=True)
+            places, rows = _places(words.hashes), np.repeat(np.arange(a, b), words.counts)
             sums[0] += np.bincount(places, minlength=BUCKETS)
             for row, label in ((1, 1), (2, 0)):
-                if len(own := places[marks == label]):
-                    sums[row] += np.bincount(own, minlength=BUCKETS)
+                own = labels[rows] == label
+                if own.any():  # each place once a text
+                    held = np.unique(rows[own] * BUCKETS + places[own])
+                    sums[row] += np.bincount(held % BUCKETS, minlength=BUCKETS)
     held = np.flatnonzero(sums[0])
     for at in range(0, len(held), 50_000):
         some = held[at : at + 50_000]
@@ -131,7 +134,7 @@ class Calibration:
 def _scan(texts: pa.Array, weights: np.ndarray, drift: float) -> Iterator[tuple[int, list[tuple[int, int, float]]]]:
     """(words, segments) of each text."""
     for a, b in slices(texts):
-        words = hash_words(texts.slice(a, b - a))
+        words = hash_words(texts.slice(a, b - a), letters=True)
         w = weights[_places(words.hashes)]
         hits = np.flatnonzero(w > 0)
         cuts = np.searchsorted(hits, words.offsets)
@@ -142,7 +145,8 @@ def _scan(texts: pa.Array, weights: np.ndarray, drift: float) -> Iterator[tuple[
 
 @dataclass(frozen=True)
 class Options:
-    prior_tokens: float = 10_000.0
+    prior_flat: float = 0.5
+    prior_corpus: float = 1_000.0
     least_z: float = 3.0
     drift: float = 0.25
     most_weight: float = 8.0
@@ -157,9 +161,10 @@ def _weights(cells: DataFrame, o: Options) -> tuple[np.ndarray, float]:
     corpus, toxic, clean = (float(x or 0) for x in total)
     if not toxic or not clean:
         return table, 0.0
-    prior = F.col("corpus") * (o.prior_tokens / corpus)
+    prior = F.col("corpus") * (o.prior_corpus / corpus) + o.prior_flat
+    whole = o.prior_corpus + o.prior_flat * cells.count()
     t, c = F.col("toxic") + prior, F.col("clean") + prior
-    odds = F.log(t / (toxic + o.prior_tokens - t)) - F.log(c / (clean + o.prior_tokens - c))
+    odds = F.log(t / (toxic + whole - t)) - F.log(c / (clean + whole - c))
     rows = cells.filter("toxic > 0").select("place", "clean", odds.alias("odds"), (odds / F.sqrt(1 / t + 1 / c)).alias("z"))
     held = rows.filter((F.col("z") >= o.least_z) & (F.col("odds") > 0)).toPandas()  # at most BUCKETS rows
     weight = np.minimum(held.odds.to_numpy(), o.most_weight)

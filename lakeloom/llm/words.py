@@ -36,6 +36,8 @@ def stream(seed: int, n: int) -> np.ndarray:
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _INK = ~_SPACE
+_LETTERS = np.zeros(256, dtype=bool)
+_LETTERS[[*range(ord("0"), ord("9") + 1), *range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = True
 _PLAIN = stream(11, 256)
 _LOWER = _PLAIN.copy()
 _LOWER[ord("A") : ord("Z") + 1] = _PLAIN[ord("a") : ord("z") + 1]
@@ -72,28 +74,29 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]] if len(offsets) else raw, offsets - offsets[0]
 
 
-def bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First byte and end of every word; a text's end also ends a word."""
-    ink = _INK[raw]
+def bounds(ink: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of every run of marked bytes; a text's end also ends a run."""
     first, last = ink.copy(), ink.copy()
     first[1:] &= ~ink[:-1]
     last[:-1] &= ~ink[1:]
-    inner = offsets[(offsets > 0) & (offsets < len(raw))]
+    inner = offsets[(offsets > 0) & (offsets < len(ink))]
     first[inner] = ink[inner]
     last[inner - 1] = ink[inner - 1]
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def hash_words(texts: pa.Array, lower: bool = True) -> Words:
+def hash_words(texts: pa.Array, lower: bool = True, letters: bool = False) -> Words:
+    """letters: words are runs of ASCII letters, digits and bytes from 0x80 instead."""
     raw, offsets = text_buffer(texts)
     if not len(raw):
         return Words(np.zeros(0, dtype=np.uint64), np.zeros(len(offsets), dtype=np.int64))
-    starts, ends = bounds(raw, offsets)
+    ink = (_LETTERS if letters else _INK)[raw]
+    starts, ends = bounds(ink, offsets)
     where = np.searchsorted(starts, offsets).astype(np.int64)
     if not len(starts):
         return Words(np.zeros(0, dtype=np.uint64), where)
     sizes = ends - starts
-    code = (_LOWER if lower else _PLAIN)[raw[_INK[raw]]]
+    code = (_LOWER if lower else _PLAIN)[raw[ink]]
     begins = np.zeros(len(sizes), dtype=np.int64)
     np.cumsum(sizes[:-1], out=begins[1:])
     place = np.arange(len(code), dtype=np.int64) - np.repeat(begins, sizes)
