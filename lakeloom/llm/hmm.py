@@ -39,7 +39,7 @@ from .words import U, hash_words, mix, slices
 CLASS_BITS = 16
 END = 1 << CLASS_BITS  # the class of the end
 CLASSES = END + 1
-HEAD_BITS = 20
+HEAD_BITS = 18
 HEAD = 1 << HEAD_BITS
 END_HASH = U(0xE4D0F7E87E0CE1D5)
 STRETCH = 256
