@@ -19,6 +19,4 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents not predicted toxic, judged by a model learned from all labelled ones among them."""
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    toxic = model.apply(docs).filter("predicted = 1").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(toxic, docs["doc_id"] == F.col("_gone"), "left_anti")
+    return toxicity.fit(docs, table(spark, sf_dir, "labels")).keep(docs)

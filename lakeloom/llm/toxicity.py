@@ -222,6 +222,20 @@ class Model:
         return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(scored, schema).withColumnRenamed("id", key)
 
 
+    def keep(self, docs: DataFrame, text: str = "text") -> DataFrame:
+        """The rows of docs that are not predicted toxic, with all their columns."""
+        shared = docs.sparkSession.sparkContext.broadcast((self.weights, self.calibration, self.options))
+        at = docs.columns.index(text)
+
+        def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            weights, calibration, o = shared.value
+            for batch in batches:
+                fine = [calibration.score(calibration.features(found, n)) < 0.5 for n, found in _scan(batch.column(at).cast(pa.string()), weights, o.drift)]
+                yield batch.filter(pa.array(fine, pa.bool_()))
+
+        return docs.mapInArrow(kept, docs.schema)
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", teaches: Column | None = None, options: Options | None = None) -> Model:
     """Learn from the labelled rows for which `teaches` (over the key) holds."""
     o = options or Options()
