@@ -16,4 +16,5 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     names = stored(write_token_files(docs, folder, "doc_id", "text", tokenizer_path("byte_bpe_50k.json"), END_ID), "token-names")
     found = scan_token_files(spark, folder, END_ID)
-    return names.join(found, ["file", "number"]).selectExpr("id AS doc_id", "n_tokens")
+    # Both sides grow with the corpus, however small they compress, so neither is broadcast.
+    return names.hint("merge").join(found, ["file", "number"]).selectExpr("id AS doc_id", "n_tokens")

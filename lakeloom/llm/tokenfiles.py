@@ -110,6 +110,7 @@ def scan_token_files(spark: SparkSession, folder: str, end_id: int, width: int =
     files = Window.partitionBy("uri").orderBy("block")
     state = summed.withColumns({"first": F.coalesce(F.sum("seps").over(before), F.lit(0)), "carried": F.coalesce(F.lag("open").over(files), F.lit(0)), "last": F.lead("block").over(files).isNull()})
     lengths = F.when(F.col("seps") > 0, F.concat(F.array(F.col("carried") + F.col("head")), F.col("inner"))).otherwise(F.array().cast("array<long>"))
-    closed = state.select("uri", "first", F.posexplode(lengths).alias("i", "n_tokens")).select("uri", (F.col("first") + F.col("i")).alias("number"), "n_tokens", F.lit(True).alias("closed"))
-    left = state.filter("last and open > 0").select("uri", (F.col("first") + F.col("seps")).alias("number"), F.col("open").alias("n_tokens"), F.lit(False).alias("closed"))
-    return closed.union(left).select(F.element_at(F.split("uri", "/"), -1).alias("file"), "number", "n_tokens", "closed")
+    ended = F.transform(lengths, lambda x: F.struct(x.alias("n_tokens"), F.lit(True).alias("closed")))
+    rest = F.when(F.col("last") & (F.col("open") > 0), F.array(F.struct(F.col("open").alias("n_tokens"), F.lit(False).alias("closed")))).otherwise(F.array().cast("array<struct<n_tokens:long,closed:boolean>>"))
+    found = state.select("uri", "first", F.posexplode(F.concat(ended, rest)).alias("i", "x"))
+    return found.select(F.element_at(F.split("uri", "/"), -1).alias("file"), (F.col("first") + F.col("i")).alias("number"), "x.n_tokens", "x.closed")
