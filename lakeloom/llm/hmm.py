@@ -47,11 +47,14 @@ STRETCH = 256
 
 def _classes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word hashes with the end's, their classes, offsets) of the texts."""
-    words = hash_words(texts)
-    n = len(words.offsets) - 1
-    offsets = words.offsets + np.arange(n + 1)
+    parts = [hash_words(texts.slice(a, b - a)) for a, b in slices(texts, 2 << 20)]  # hashing takes some 40 bytes a byte
+    counts = np.concatenate([p.counts for p in parts]) if parts else np.zeros(0, dtype=np.int64)
+    n = len(counts)
+    offsets = np.r_[0, np.cumsum(counts + 1)]
     hashes = np.full(offsets[-1], END_HASH, dtype=np.uint64)
-    hashes[np.arange(len(words.hashes)) + np.repeat(np.arange(n), words.counts)] = words.hashes
+    words = np.ones(len(hashes), dtype=bool)
+    words[offsets[1:] - 1] = False
+    hashes[words] = np.concatenate([p.hashes for p in parts]) if parts else np.zeros(0, dtype=np.uint64)
     classes = (hashes >> U(64 - CLASS_BITS)).astype(np.int32)
     classes[offsets[1:] - 1] = END
     return hashes, classes, offsets
@@ -226,7 +229,7 @@ class Model:
             at = TaskContext.get().partitionId() << 36
             pair = pa.struct([("h", pa.int64()), ("tf", pa.int32())])
             for batch in batches:
-                for a, b in slices(batch.column(1), 24 << 20):
+                for a, b in slices(batch.column(1), 16 << 20):
                     hashes, classes, offsets = _classes(batch.column(1).slice(a, b - a))
                     n, first = b - a, offsets[:-1]
                     slot = (hashes & U(HEAD - 1)).astype(np.int64)
