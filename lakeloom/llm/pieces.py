@@ -62,12 +62,31 @@ class Vocabulary:
         hashes = np.array([self._hash(b) for _, b in found], dtype=np.uint64)
         order = np.argsort(hashes)
         self.hashes, self.ids = hashes[order], np.array([i for i, _ in found], dtype=np.int32)[order]
-        self.maybe = np.zeros(_FILTER + 1, dtype=bool)
-        self.maybe[(hashes & U(_FILTER)).astype(np.int64)] = True
+        slot = (self.hashes & U(_FILTER)).astype(np.int64)
+        self.slot = np.full(_FILTER + 1, -1, dtype=np.int32)  # a piece of each slot
+        self.slot[slot] = np.arange(len(slot))
+        self.crowded = np.bincount(slot, minlength=_FILTER + 1) > 1
+        self.reach = np.zeros(_FILTER + 1, dtype=np.int16)  # longest piece by its first 4 bytes
+        for _, body in found:
+            if len(body) >= 4:
+                spot = int(self._hash(body[:4]) & U(_FILTER))
+                self.reach[spot] = max(self.reach[spot], len(body))
         sizes = np.array([len(t) for t in self.text], dtype=np.int64)
         self.sizes, self.starts = sizes, np.cumsum(sizes) - sizes
         self.bytes = np.frombuffer(b"".join(self.text), dtype=np.uint8)
 
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Places in `ids` of hashes; -1 where there is no piece."""
+        place = (h & U(_FILTER)).astype(np.int64)
+        spot = self.slot[place]
+        wrong = np.flatnonzero((spot >= 0) & (self.hashes[spot] != h))
+        spot[wrong] = -1
+        again = wrong[self.crowded[place[wrong]]]
+        if len(again):
+            other = np.minimum(np.searchsorted(self.hashes, h[again]), len(self.hashes) - 1)
+            spot[again] = np.where(self.hashes[other] == h[again], other, -1)
+        return spot
+
     @staticmethod
     def _hash(body: bytes) -> np.uint64:
         codes = _CODE[np.frombuffer(body, dtype=np.uint8)]
@@ -101,15 +120,19 @@ class Lattice:
         width[at] = np.diff(np.r_[at, len(raw)])
         alone = np.zeros(len(raw), dtype=bool)
         starts, sizes, pieces = [], [], []
+        far, reach = at, None
+        if len(v.lengths) and v.lengths[-1] >= 4:
+            far = at[at + 4 <= stop[at]]
+            with np.errstate(over="ignore"):
+                reach = v.reach[(mix((total[far + 4] - total[far]) * back[far]) & U(_FILTER)).astype(np.int64)]
+            reach = np.minimum(reach, stop[far] - far)
+            far, reach = far[reach >= 4], reach[reach >= 4]
         for length in v.lengths:
-            s = at[at + length <= stop[at]]
+            s = at[at + length <= stop[at]] if length < 4 else far[reach >= length]
             with np.errstate(over="ignore"):
                 h = mix((total[s + length] - total[s]) * back[s])
-            hit = v.maybe[(h & U(_FILTER)).astype(np.int64)]
-            s, h = s[hit], h[hit]
-            spot = np.minimum(np.searchsorted(v.hashes, h), len(v.hashes) - 1)
-            true = v.hashes[spot] == h
-            s, spot = s[true], spot[true]
+            spot = v.find(h)
+            s, spot = s[spot >= 0], spot[spot >= 0]
             alone[s[width[s] == length]] = True
             starts.append(s)
             sizes.append(np.full(len(s), length))
@@ -120,16 +143,16 @@ class Lattice:
         sizes.append(np.ones(len(bare), dtype=np.int64))
         pieces.append(v.byte_ids[raw[bare]])
         s, size, self.piece = np.concatenate(starts), np.concatenate(sizes), np.concatenate(pieces)
+        place = s - cuts[unit[s]] + size
         self.source, target = s + unit[s], s + size + unit[s]
-        order = np.lexsort((self.source, target))
-        self.source, target, self.piece = self.source[order], target[order], self.piece[order]
+        order = np.argsort(target.astype(np.int32), kind="stable")
+        self.source, target, self.piece, place = self.source[order], target[order], self.piece[order], place[order]
         nodes = len(raw) + n_units
-        self.first = np.searchsorted(target, np.arange(nodes + 1))
+        self.first = np.r_[0, np.cumsum(np.bincount(target, minlength=nodes))]
         # Forward sums, for the places 1, 2, ... of all units at a time.
         gain, forward = v.weight[self.piece], np.full(nodes, -np.inf)
         forward[self.base] = 0.0
-        place = target - self.base[np.searchsorted(self.base, target, side="right") - 1]
-        by_place = np.argsort(place, kind="stable")
+        by_place = np.argsort(place.astype(np.int16) if place.max(initial=0) < 32_000 else place, kind="stable")
         bounds = np.searchsorted(place[by_place], np.arange(1, int(place.max(initial=0)) + 2))
         for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
             e = by_place[lo:hi]
@@ -237,7 +260,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
         for batch in batches:
             keys = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
             texts = batch.column(1)
-            for a, b in slices(texts, 6 << 20):
+            for a, b in slices(texts, 2 << 20):
                 ids, offsets = sample_batch(v, keys[a:b], texts.slice(a, b - a), seed)
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), texts.slice(a, b - a), lists], names=["id", "t", "ids"])
