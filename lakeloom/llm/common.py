@@ -49,6 +49,18 @@ def id_remainder(column: str, modulus: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)
 
 
+def least_hashed(df: DataFrame, key: str, k: int, n: int) -> DataFrame:
+    """The k rows of least hash of their key, of about n rows.
+
+    Rows whose hash is too large to be among them go first, so a task hands on its share of
+    some 2 * k rows and not k rows of its own.
+    """
+    spread = F.xxhash64(key)
+    if n > 4 * k:
+        df = df.filter(F.pmod(spread, F.lit(1 << 31)) < int((1 << 31) * 2 * k / n))
+    return df.orderBy(F.pmod(spread, F.lit(1 << 31)), key).limit(k)
+
+
 def let(value: Column, body) -> Column:
     """Evaluate `value` once per row and hand it to `body` as a lambda variable.
 

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import least_hashed, stored
 from .words import U, hash_words, mix, slices
 
 CLASS_BITS = 16
@@ -292,7 +292,7 @@ def fit(docs: DataFrame, teaches: Column, key: str = "doc_id", text: str = "text
     head, head_log = np.zeros(HEAD, dtype=np.uint64), np.zeros(HEAD)
     slots = top["slot"].to_numpy()
     head[slots], head_log[slots] = top["h"].to_numpy().view(np.uint64), np.log10(top["c"].to_numpy() + 1.0)
-    sample = own.orderBy(F.xxhash64("_k"), "_k").limit(seed_docs).toPandas()
+    sample = least_hashed(own, "_k", seed_docs, ends).toPandas()
     if len(sample):
         chain = seed_chain(pa.array(sample["_t"], pa.string()), states, share, weight)
         for _ in range(steps):
