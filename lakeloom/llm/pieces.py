@@ -260,7 +260,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
         for batch in batches:
             keys = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
             texts = batch.column(1)
-            for a, b in slices(texts, 2 << 20):
+            for a, b in slices(texts, 1 << 20):
                 ids, offsets = sample_batch(v, keys[a:b], texts.slice(a, b - a), seed)
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), texts.slice(a, b - a), lists], names=["id", "t", "ids"])
@@ -280,9 +280,14 @@ def decode(coded: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -
             lists = batch.column(kept.index(ids))
             mask = lists.is_null().to_numpy(zero_copy_only=False)
             sizes = np.where(mask, 0, lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-            texts = decode_batch(v, np.asarray(lists.flatten()), np.r_[0, np.cumsum(sizes)])
-            if mask.any():
-                texts = pa.array([None if m else t for m, t in zip(mask, texts.to_pylist(), strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*kept, to])
+            offsets, flat = np.r_[0, np.cumsum(sizes)], np.asarray(lists.flatten())
+            at = 0
+            while at < len(lists):  # some 400,000 ids at a time
+                end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + 400_000, side="right")) - 1)
+                texts = decode_batch(v, flat[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at])
+                if mask[at:end].any():
+                    texts = pa.array([None if m else t for m, t in zip(mask[at:end], texts.to_pylist(), strict=True)], pa.string())
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, end - at) for c in batch.columns), texts], names=[*kept, to])
+                at = end
 
     return coded.select(*kept).mapInArrow(decoded, schema)
