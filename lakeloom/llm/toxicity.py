@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import least_hashed, stored
 from .words import U, hash_words, slices
 
 BITS = 20
@@ -244,7 +244,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     known = known.groupBy("_k").agg(F.max("_y").alias("_y"))
     if teaches is not None:
         known = known.withColumnRenamed("_k", key).filter(teaches).withColumnRenamed(key, "_k")
-    sample = stored(known.orderBy(F.xxhash64("_k"), "_k").limit(o.most_labelled), "toxic-labels")  # bounded, so broadcast below
+    sample = stored(least_hashed(known, "_k", o.most_labelled, known.count()), "toxic-labels")  # bounded, so broadcast below
     rows = docs.select(F.col(key).cast("long").alias("_k"), F.col(text).cast("string").alias("_t"))
     cells = rows.join(F.broadcast(sample), "_k", "left").select("_t", "_y").mapInArrow(_counted, "place int, corpus long, toxic long, clean long")
     cells = stored(cells.groupBy("place").agg(*[F.sum(c).alias(c) for c in ("corpus", "toxic", "clean")]), "toxic-counts")
@@ -256,9 +256,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = list(_scan(batch.column(0), shared.value, o.drift))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([n for n, _ in found], pa.int32()), pa.array([[s for _, _, s in f] for _, f in found], pa.list_(pa.float64()))], names=["y", "n", "scores"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([n for n, _ in found], pa.int32()), pa.array([[s for _, _, s in f] for _, f in found], pa.list_(pa.float64()))], names=["k", "y", "n", "scores"])
 
-    seen = rows.join(F.broadcast(sample), "_k").select("_t", "_y").mapInArrow(best, "y int, n int, scores array<double>").toPandas()  # at most most_labelled ids
+    seen = rows.join(F.broadcast(sample), "_k").select("_t", "_k", "_y").mapInArrow(best, "k long, y int, n int, scores array<double>")
+    seen = seen.groupBy("k").agg(F.max(F.struct("n", "scores", "y")).alias("x")).select("x.*").toPandas()  # one row an id, so at most most_labelled
     y, n = seen.y.to_numpy(), np.maximum(seen.n.to_numpy(), 1)
     top = np.array([max(s, default=0.0) for s in seen.scores])
     clean = scale * top[y == 0] - np.log(n[y == 0])
