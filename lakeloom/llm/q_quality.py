@@ -19,7 +19,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rule nor the list rejects."""
-    rules = quality.fit(docs, table(spark, sf_dir, "labels"))
-    # The whole row travels in a struct, so that no column of docs meets a column of the statistics.
+    # The whole row travels in a struct, so that no column of docs meets a column of the statistics,
+    # and rows are written with their statistics, so that these are computed once.
     packed = docs.select(F.struct("*").alias("_row"), F.col("text").alias("_text"))
-    return quality.judge(quality.text_statistics(packed, "_text"), rules).filter("kept").select("_row.*")
+    statistics = stored(quality.text_statistics(packed, "_text").drop("_text"), "quality")
+    known = quality.labelled(statistics.withColumn("doc_id", F.col("_row.doc_id")), table(spark, sf_dir, "labels"))
+    rules = quality.learn_list(stored(known, "quality-fit"))
+    return quality.judge(statistics, rules).filter("kept").select("_row.*")

@@ -223,11 +223,9 @@ def labelled(statistics: DataFrame, labels: DataFrame, key: str = "doc_id", labe
 
 
 def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", **options) -> DecisionList:
-    """Statistics of all labelled documents, then the list; the statistics alone are written to the shared folder."""
-    ids = labels.select(F.col(key).alias("_k")).filter("_k is not null").distinct()
-    own = documents.select(key, text).join(ids, F.col(key) == F.col("_k"), "left_semi")
-    rows = labelled(text_statistics(own, text).drop(text), labels, key, label)
-    return learn_list(stored(rows, "quality-fit"), **options)
+    """Statistics of all documents, written to the shared folder without the texts, then the list."""
+    statistics = stored(text_statistics(documents.select(key, text), text).drop(text), "quality")
+    return learn_list(stored(labelled(statistics, labels, key, label), "quality-fit"), **options)
 
 
 def judge(statistics: DataFrame, rules: DecisionList) -> DataFrame:
