@@ -3,7 +3,8 @@
 Learning. Words (runs of letters and digits, A-Z lower-cased) are hashed to BUCKETS places. One pass over all
 documents counts the words of each place in the corpus, and the toxic and the clean
 training rows that hold it (rows, since a word that one row repeats is one piece of
-evidence). A Dirichlet prior for either class has `prior_flat` for each place and
+evidence). The log-odds of a place compare its rows with the rows without it, class against
+class, under a Dirichlet prior of `prior_flat` for either outcome, to which the first adds
 `prior_corpus` shared out like the corpus counts; a place whose log-odds between the classes exceed `least_z` standard errors gets
 them as its weight, all others weigh -drift. The weights are one dense table of
 BUCKETS floats (4 MB), which bounds what is broadcast whatever the corpus holds.
@@ -49,10 +50,12 @@ def _places(hashes: np.ndarray) -> np.ndarray:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(place, corpus, toxic, clean) sums of a task's rows (text, label)."""
+    """(place, corpus, toxic, clean) sums of a task's rows (text, label); place -1 counts the rows."""
     sums = np.zeros((3, BUCKETS), dtype=np.int64)
+    texts_of = [0, 0, 0]
     for batch in batches:
         texts, labels = batch.column(0), batch.column(1).fill_null(-1).to_numpy(zero_copy_only=False)
+        texts_of = [texts_of[0] + len(labels), texts_of[1] + int((labels == 1).sum()), texts_of[2] + int((labels == 0).sum())]
         for a, b in slices(texts):
             words = hash_words(texts.slice(a, b - a), letters=True)
             places, rows = _places(words.hashes), np.repeat(np.arange(a, b), words.counts)
@@ -62,6 +65,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if own.any():  # each place once a text
                     held = np.unique(rows[own] * BUCKETS + places[own])
                     sums[row] += np.bincount(held % BUCKETS, minlength=BUCKETS)
+    if texts_of[0]:
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), *(pa.array([n], pa.int64()) for n in texts_of)], names=["place", "corpus", "toxic", "clean"])
     held = np.flatnonzero(sums[0])
     for at in range(0, len(held), 50_000):
         some = held[at : at + 50_000]
@@ -146,8 +151,8 @@ def _scan(texts: pa.Array, weights: np.ndarray, drift: float) -> Iterator[tuple[
 @dataclass(frozen=True)
 class Options:
     prior_flat: float = 0.5
-    prior_corpus: float = 1_000.0
-    least_z: float = 3.0
+    prior_corpus: float = 10.0
+    least_z: float = 2.75
     drift: float = 0.25
     most_weight: float = 8.0
     significance: float = 0.01
@@ -157,15 +162,17 @@ class Options:
 def _weights(cells: DataFrame, o: Options) -> tuple[np.ndarray, float]:
     """The dense table and lambda."""
     table = np.full(BUCKETS, -o.drift, dtype=np.float32)
-    total = cells.agg(F.sum("corpus"), F.sum("toxic"), F.sum("clean")).first()
-    corpus, toxic, clean = (float(x or 0) for x in total)
-    if not toxic or not clean:
+    count = cells.filter("place < 0").first()
+    cells = cells.filter("place >= 0")
+    total = cells.agg(F.sum("corpus"), F.sum("clean")).first()
+    corpus, clean = (float(x or 0) for x in total)
+    if not count or not count["toxic"] or not count["clean"] or not clean:
         return table, 0.0
     prior = F.col("corpus") * (o.prior_corpus / corpus) + o.prior_flat
-    whole = o.prior_corpus + o.prior_flat * cells.count()
     t, c = F.col("toxic") + prior, F.col("clean") + prior
-    odds = F.log(t / (toxic + whole - t)) - F.log(c / (clean + whole - c))
-    rows = cells.filter("toxic > 0").select("place", "clean", odds.alias("odds"), (odds / F.sqrt(1 / t + 1 / c)).alias("z"))
+    no_t, no_c = float(count["toxic"]) - F.col("toxic") + o.prior_flat, float(count["clean"]) - F.col("clean") + o.prior_flat
+    odds = F.log(t / no_t) - F.log(c / no_c)
+    rows = cells.filter("toxic > 0").select("place", "clean", odds.alias("odds"), (odds / F.sqrt(1 / t + 1 / c + 1 / no_t + 1 / no_c)).alias("z"))
     held = rows.filter((F.col("z") >= o.least_z) & (F.col("odds") > 0)).toPandas()  # at most BUCKETS rows
     weight = np.minimum(held.odds.to_numpy(), o.most_weight)
     table[held.place.to_numpy()] = weight
