@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +64,26 @@ def least_hashed(df: DataFrame, key: str, k: int, n: int) -> DataFrame:
     return df.orderBy(F.pmod(spread, F.lit(1 << 31)), key).limit(k)
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def tidy(fn: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """fn, after which the worker gives back memory that Arrow and malloc keep for later.
+
+    Spark reuses its Python workers, so what one stage leaves behind counts in the next.
+    """
+
+    def run(batches: Batches) -> Batches:
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # no such call in this C library
+            pass
+
+    return run
+
+
 def let(value: Column, body) -> Column:
     """Evaluate `value` once per row and hand it to `body` as a lambda variable.
 

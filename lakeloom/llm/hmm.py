@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import least_hashed, stored
+from .common import least_hashed, stored, tidy
 from .words import U, hash_words, mix, slices
 
 CLASS_BITS = 16
@@ -196,7 +196,7 @@ def _step(texts: DataFrame, chain: Chain) -> Sums:
             held = np.flatnonzero(table.any(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(numbers[held].astype(np.int32)), *(pa.array(table[held, i]) for i in range(k))], names=["row", *(f"s{i}" for i in range(k))])
 
-    rows = texts.mapInArrow(counted, "row int, " + ", ".join(f"s{i} double" for i in range(k)))
+    rows = texts.mapInArrow(tidy(counted), "row int, " + ", ".join(f"s{i} double" for i in range(k)))
     held = rows.groupBy("row").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(k)]).toPandas()  # at most CLASSES + k + 1 rows
     out, values = Sums.zero(k), held[[f"s{i}" for i in range(k)]].to_numpy()
     for number, value in zip(held["row"].to_numpy(), values, strict=True):
@@ -256,7 +256,7 @@ class Model:
                     at += n
 
         schema = "row long, id long, n_tokens long, n_head long, head_log double, chain_log double, tail array<struct<h:long,tf:int>>"
-        rows = stored(docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(scored, schema), "scored")
+        rows = stored(docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(tidy(scored), schema), "scored")
         tail = rows.select("row", F.explode("tail").alias("x")).select("row", "x.h", "x.tf").join(self.counts, "h")
         tail = tail.groupBy("row").agg(F.sum("tf").alias("n_tail"), F.sum(F.col("tf") * F.log10(F.col("c") + 1.0)).alias("tail_log"))
         words_log = F.col("head_log") + F.coalesce("tail_log", F.lit(0.0))
@@ -275,7 +275,7 @@ def fit(docs: DataFrame, teaches: Column, key: str = "doc_id", text: str = "text
     """Word counts and `steps` Baum-Welch passes over the rows for which `teaches` holds."""
     own = docs.filter(F.coalesce(teaches, F.lit(False)) & F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_t"))
     texts = own.select("_t")
-    counts = stored(texts.mapInArrow(_word_counts, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "word-counts")
+    counts = stored(texts.mapInArrow(tidy(_word_counts), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "word-counts")
     end = int(END_HASH.view(np.int64))
     total = counts.agg(F.sum("c"), F.count("*"), F.sum(F.when(F.col("h") == end, F.col("c")))).first()
     tokens, words, ends = (int(x or 0) for x in total)

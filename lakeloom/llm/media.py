@@ -31,7 +31,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from .archives import fetch, list_files, put
-from .common import scratch, stored
+from .common import scratch, stored, tidy
 
 PAD, WIDTH = 64, 64
 MAGIC = b"\x89PNG\r\n\x1a\n"
@@ -163,7 +163,7 @@ def write_archives(rows: DataFrame, folder: str, name: str, payload: str, most_b
         if held.members:
             yield close()
 
-    return rows.select(F.col(name).cast("string"), F.col(payload).cast("binary")).mapInArrow(written, "file string, members long")
+    return rows.select(F.col(name).cast("string"), F.col(payload).cast("binary")).mapInArrow(tidy(written), "file string, members long")
 
 
 @dataclass

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import superminhash as sm
-from .common import stored
+from .common import stored, tidy
 from .components import components
 from .words import slices
 
@@ -63,7 +63,7 @@ def _signed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
 
 def signed_table(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     rows = docs.select(F.col(key).cast("long"), F.col(text).cast("string"))
-    return rows.mapInArrow(lambda b: _signed(b, width), "id long, n_shingles long, k1 long, k2 long, sig binary, bands array<long>")
+    return rows.mapInArrow(tidy(lambda b: _signed(b, width)), "id long, n_shingles long, k1 long, k2 long, sig binary, bands array<long>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -239,12 +239,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
     def screened(pairs: DataFrame) -> DataFrame:
         full = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
-        return full.select("a", "b", "sa", "sb").mapInArrow(lambda x: _screened(x, least), "a long, b long")
+        return full.select("a", "b", "sa", "sb").mapInArrow(tidy(lambda x: _screened(x, least)), "a long, b long")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         texts = texts_of(docs, key, text, pairs.select(F.col("a").alias("id")).union(pairs.select("b"))).hint("merge")
         full = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
-        return stored(full.select("a", "b", "ta", "tb").mapInArrow(lambda x: _confirmed(x, width, part, whole), "a long, b long"), "links")
+        return stored(full.select("a", "b", "ta", "tb").mapInArrow(tidy(lambda x: _confirmed(x, width, part, whole)), "a long, b long"), "links")
 
     to_leaders = met.filter("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
     links = confirmed(stored(screened(to_leaders), "pairs"))
@@ -257,7 +257,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     texts = texts_of(docs, key, text, cells).hint("merge")
     cells = cells.join(reps.select("id", "sig", "bands"), "id").join(texts, "id")
     cells = cells.select("cell", "band", "role", "id", "comp", "outside", "sig", "bands", F.col("t")).repartition("cell").sortWithinPartitions("cell", "role")
-    found = stored(cells.mapInArrow(lambda x: _across(x, width, least, part, whole), "a long, b long"), "links")
+    found = stored(cells.mapInArrow(tidy(lambda x: _across(x, width, least, part, whole)), "a long, b long"), "links")
     if not found.isEmpty():
         comp = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
 

@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
 from .tokens import encoder, tokenizer_path
 from .words import slices
 
@@ -94,7 +95,7 @@ def _packed(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id:
 
     for batch in batches:
         texts = batch.column(1).fill_null("")
-        for a, b in slices(texts, 2 << 20):
+        for a, b in slices(texts):
             coded = coder.encode(texts.slice(a, b - a).cast(pa.binary()).to_pylist())
             for key, data in zip(batch.column(0).slice(a, b - a).to_pylist(), coded, strict=True):
                 waiting.extend((key, piece, ids) for piece, ids in _cut(data + end, capacity))
@@ -105,8 +106,8 @@ def _packed(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id:
     yield from flush()
 
 
-def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, capacity: int = 2048, end_id: int = 0, open_bins: int = 4096, window_tokens: int = 4_000_000) -> DataFrame:
+def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, capacity: int = 2048, end_id: int = 0, open_bins: int = 4096, window_tokens: int = 2_000_000) -> DataFrame:
     """One row per piece: key, piece, start, length, ids (little-endian unsigned 32-bit), sequence_id, offset."""
     path = tokenizer or tokenizer_path("word_bpe_49k.json")
     rows = docs.select(F.col(key).cast("long"), F.col(text).cast("string"))
-    return rows.mapInArrow(lambda b: _packed(b, path, capacity, end_id, open_bins, window_tokens), SCHEMA).withColumnRenamed("id", key)
+    return rows.mapInArrow(tidy(lambda b: _packed(b, path, capacity, end_id, open_bins, window_tokens)), SCHEMA).withColumnRenamed("id", key)

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
 from .words import GOLDEN, U, mix, slices, stream, text_buffer
 
 _CODE = stream(23, 256)
@@ -266,7 +267,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), texts.slice(a, b - a), lists], names=["id", "t", "ids"])
 
     rows = docs.select(F.col(key).cast("long"), F.col(text).cast("string"))
-    return rows.mapInArrow(sampled, "id long, t string, ids array<int>").toDF(key, text, "ids")
+    return rows.mapInArrow(tidy(sampled), "id long, t string, ids array<int>").toDF(key, text, "ids")
 
 
 def decode(coded: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
@@ -290,4 +291,4 @@ def decode(coded: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -
                 yield pa.RecordBatch.from_arrays([*(c.slice(at, end - at) for c in batch.columns), texts], names=[*kept, to])
                 at = end
 
-    return coded.select(*kept).mapInArrow(decoded, schema)
+    return coded.select(*kept).mapInArrow(tidy(decoded), schema)

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .archives import fetch, list_files, put
+from .common import tidy
 from .tokens import encoder
 from .words import slices
 
@@ -65,7 +66,7 @@ def write_token_files(docs: DataFrame, folder: str, key: str, text: str, tokeniz
         if keys:
             yield close()
 
-    return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(written, "file string, number long, id long")
+    return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(tidy(written), "file string, number long, id long")
 
 
 def _without(raw: bytes, end_text: str) -> list[bytes]:
@@ -99,7 +100,7 @@ def scan_token_files(spark: SparkSession, folder: str, end_id: int, width: int =
                 seps = int((ids == end_id).sum()) if not len(inner) else len(inner) + 1
                 yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([block], pa.int32()), pa.array([head], pa.int64()), pa.array([tail], pa.int64()), pa.array([seps], pa.int64()), pa.array([inner.tolist()], pa.list_(pa.int64()))], names=["uri", "block", "head", "tail", "seps", "inner"])
 
-    rows = plan.mapInArrow(scanned, "uri string, block int, head long, tail long, seps long, inner array<long>")
+    rows = plan.mapInArrow(tidy(scanned), "uri string, block int, head long, tail long, seps long, inner array<long>")
     before = Window.partitionBy("uri").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("uri").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
     # The scan's state is (separators so far, ids since the last one). A block with separators sets

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import least_hashed, stored
+from .common import least_hashed, stored, tidy
 from .words import U, hash_words, slices
 
 BITS = 20
@@ -226,7 +226,7 @@ class Model:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(sizes, pa.int32()), pa.array(passages, pa.list_(passage))], names=["id", "score", "predicted", "n_words", "passages"])
 
         schema = "id long, score double, predicted int, n_words int, passages array<struct<start_word:int,end_word:int,score:double,chance:double>>"
-        return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(scored, schema).withColumnRenamed("id", key)
+        return docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(tidy(scored), schema).withColumnRenamed("id", key)
 
 
     def keep(self, docs: DataFrame, text: str = "text") -> DataFrame:
@@ -240,7 +240,7 @@ class Model:
                 fine = [calibration.score(calibration.features(found, n)) < 0.5 for n, found in _scan(batch.column(at).cast(pa.string()), weights, o.drift)]
                 yield batch.filter(pa.array(fine, pa.bool_()))
 
-        return docs.mapInArrow(kept, docs.schema)
+        return docs.mapInArrow(tidy(kept), docs.schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", teaches: Column | None = None, options: Options | None = None) -> Model:
@@ -253,7 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         known = known.withColumnRenamed("_k", key).filter(teaches).withColumnRenamed(key, "_k")
     sample = stored(least_hashed(known, "_k", o.most_labelled, known.count()), "toxic-labels")  # bounded, so broadcast below
     rows = docs.select(F.col(key).cast("long").alias("_k"), F.col(text).cast("string").alias("_t"))
-    cells = rows.join(F.broadcast(sample), "_k", "left").select("_t", "_y").mapInArrow(_counted, "place int, corpus long, toxic long, clean long")
+    cells = rows.join(F.broadcast(sample), "_k", "left").select("_t", "_y").mapInArrow(tidy(_counted), "place int, corpus long, toxic long, clean long")
     cells = stored(cells.groupBy("place").agg(*[F.sum(c).alias(c) for c in ("corpus", "toxic", "clean")]), "toxic-counts")
     weights, scale = _weights(cells, o)
     if not scale:
@@ -265,7 +265,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             found = list(_scan(batch.column(0), shared.value, o.drift))
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([n for n, _ in found], pa.int32()), pa.array([[s for _, _, s in f] for _, f in found], pa.list_(pa.float64()))], names=["k", "y", "n", "scores"])
 
-    seen = rows.join(F.broadcast(sample), "_k").select("_t", "_k", "_y").mapInArrow(best, "k long, y int, n int, scores array<double>")
+    seen = rows.join(F.broadcast(sample), "_k").select("_t", "_k", "_y").mapInArrow(tidy(best), "k long, y int, n int, scores array<double>")
     seen = seen.groupBy("k").agg(F.max(F.struct("n", "scores", "y")).alias("x")).select("x.*").toPandas()  # one row an id, so at most most_labelled
     y, n = seen.y.to_numpy(), np.maximum(seen.n.to_numpy(), 1)
     top = np.array([max(s, default=0.0) for s in seen.scores])

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .archives import fetch, list_files, put
-from .common import drop_folder, scratch, stored
+from .common import drop_folder, scratch, stored, tidy
 
 FIELDS = {1: "URL IP-address Archive-date Content-type Archive-length", 2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
 SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:lakeloom:record")
@@ -207,7 +207,7 @@ def write_arcs(rows: DataFrame, folder: str, name: str, url: str, payload: str,
         yield from close()
 
     columns = rows.select(F.col(name).cast("string"), F.col(url).cast("string"), F.col(payload).cast("binary"))
-    return columns.mapInArrow(written, "file string, at long, name string, size long, digest string")
+    return columns.mapInArrow(tidy(written), "file string, at long, name string, size long, digest string")
 
 
 def convert_arcs(plan: DataFrame, source: str, target: str) -> DataFrame:
@@ -261,7 +261,7 @@ def read_warcs(spark: SparkSession, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     listed = spark.createDataFrame([(u,) for u, _ in files], "path string").repartition(max(1, len(files)))
-    return listed.mapInArrow(read, "name string, url string, kind string, size long, digest string, refers_to string, payload binary")
+    return listed.mapInArrow(tidy(read), "name string, url string, kind string, size long, digest string, refers_to string, payload binary")
 
 
 def archive(rows: DataFrame, name: str, url: str, payload: str, least_bytes: int = 100) -> str:

@@ -106,7 +106,7 @@ def hash_words(texts: pa.Array, lower: bool = True, letters: bool = False) -> Wo
     return Words(mix(total), where)
 
 
-def slices(texts: pa.Array, most_bytes: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, most_bytes: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about `most_bytes` of text each; a longer text has a range of its own."""
     _, offsets = text_buffer(texts)
     at = 0
