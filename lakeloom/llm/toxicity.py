@@ -3,9 +3,10 @@
 Learning. Words (runs of letters and digits, A-Z lower-cased) are hashed to BUCKETS places. One pass over all
 documents counts the words of each place in the corpus, and the toxic and the clean
 training rows that hold it (rows, since a word that one row repeats is one piece of
-evidence). The log-odds of a place compare its rows with the rows without it, class against
+evidence; and toxic rows no more than the different words found before it, which a 64-bit
+sketch counts, since the words of a text that is copied are one piece of evidence too). The log-odds of a place compare its rows with the rows without it, class against
 class, under a Dirichlet prior of `prior_flat` for either outcome, to which the first adds
-`prior_corpus` shared out like the corpus counts; a place whose log-odds between the classes exceed `least_z` standard errors gets
+`prior_corpus` shared out like the corpus counts; a place whose log-odds exceed `least_odds` and `least_z` standard errors gets
 them as its weight, all others weigh -drift. The weights are one dense table of
 BUCKETS floats (4 MB), which bounds what is broadcast whatever the corpus holds.
 
@@ -15,7 +16,8 @@ exceeds S with probability 1 - exp(-K n exp(-lambda S)): lambda solves
 sum p exp(lambda s) = 1 over clean words, K is fitted to the best segments of clean
 training rows. Segments with a probability of at most `significance` are the passages
 reported. The text's score is a logistic function of the excess lambda S - log(K n) of its
-best segment and of the sum over segments, fitted on training rows.
+best segment and of the sum over segments, fitted on training rows, each scored with weights
+from which its own count is taken away.
 
 Training rows are labelled rows that pass the caller's filter, at most `most_labelled` of
 them, those with the least hash of their id; rows beyond are counted as corpus only.
@@ -38,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import least_hashed, stored, tidy
-from .words import U, hash_words, slices
+from .words import U, hash_words, mix, slices
 
 BITS = 20
 BUCKETS = 1 << BITS
@@ -51,7 +53,7 @@ def _places(hashes: np.ndarray) -> np.ndarray:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(place, corpus, toxic, clean) sums of a task's rows (text, label); place -1 counts the rows."""
-    sums = np.zeros((3, BUCKETS), dtype=np.int64)
+    sums, contexts = np.zeros((3, BUCKETS), dtype=np.int64), np.zeros(BUCKETS, dtype=np.uint64)
     texts_of = [0, 0, 0]
     for batch in batches:
         texts, labels = batch.column(0), batch.column(1).fill_null(-1).to_numpy(zero_copy_only=False)
@@ -65,12 +67,16 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if own.any():  # each place once a text
                     held = np.unique(rows[own] * BUCKETS + places[own])
                     sums[row] += np.bincount(held % BUCKETS, minlength=BUCKETS)
+                    if label:
+                        before = np.r_[U(0), words.hashes[:-1]]
+                        before[words.offsets[:-1][words.counts > 0]] = 0
+                        np.bitwise_or.at(contexts, places[own], U(1) << (mix(before[own]) >> U(58)))
     if texts_of[0]:
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), *(pa.array([n], pa.int64()) for n in texts_of)], names=["place", "corpus", "toxic", "clean"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), *(pa.array([n], pa.int64()) for n in [*texts_of, 0])], names=["place", "corpus", "toxic", "clean", "contexts"])
     held = np.flatnonzero(sums[0])
     for at in range(0, len(held), 50_000):
         some = held[at : at + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(s[some]) for s in sums)], names=["place", "corpus", "toxic", "clean"])
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(s[some]) for s in [*sums, contexts.view(np.int64)])], names=["place", "corpus", "toxic", "clean", "contexts"])
 
 
 def segments(at: list[int], weight: list[float], drift: float) -> list[tuple[int, int, float]]:
@@ -152,43 +158,60 @@ def _scan(texts: pa.Array, weights: np.ndarray, drift: float) -> Iterator[tuple[
 class Options:
     prior_flat: float = 0.5
     prior_corpus: float = 10.0
-    least_z: float = 2.75
+    least_z: float = 3
+    least_odds: float = 2.0
     drift: float = 0.25
     most_weight: float = 8.0
     significance: float = 0.01
     most_labelled: int = 50_000
 
 
-def _weights(cells: DataFrame, o: Options) -> tuple[np.ndarray, float]:
-    """The dense table and lambda."""
-    table = np.full(BUCKETS, -o.drift, dtype=np.float32)
+def _tables(cells: DataFrame, o: Options) -> tuple[np.ndarray, float]:
+    """Dense tables of weights and lambda.
+
+    The first row weighs any text. The others are for training texts, toxic and clean:
+    as if the text at hand had not been counted, so that calibration sees how far a weight
+    holds beyond the rows that it was learned from.
+    """
+    tables = np.full((3, BUCKETS), -o.drift, dtype=np.float32)
     count = cells.filter("place < 0").first()
     cells = cells.filter("place >= 0")
     total = cells.agg(F.sum("corpus"), F.sum("clean")).first()
     corpus, clean = (float(x or 0) for x in total)
     if not count or not count["toxic"] or not count["clean"] or not clean:
-        return table, 0.0
+        return tables, 0.0
     prior = F.col("corpus") * (o.prior_corpus / corpus) + o.prior_flat
-    t, c = F.col("toxic") + prior, F.col("clean") + prior
-    no_t, no_c = float(count["toxic"]) - F.col("toxic") + o.prior_flat, float(count["clean"]) - F.col("clean") + o.prior_flat
-    odds = F.log(t / no_t) - F.log(c / no_c)
-    rows = cells.filter("toxic > 0").select("place", "clean", odds.alias("odds"), (odds / F.sqrt(1 / t + 1 / c + 1 / no_t + 1 / no_c)).alias("z"))
-    held = rows.filter((F.col("z") >= o.least_z) & (F.col("odds") > 0)).toPandas()  # at most BUCKETS rows
-    weight = np.minimum(held.odds.to_numpy(), o.most_weight)
-    table[held.place.to_numpy()] = weight
-    share = held.clean.to_numpy() / clean
+    held_bits = F.bit_count("contexts")
+    varied = F.when(held_bits < 60, F.round(-64 * F.log(1 - held_bits / 64))).otherwise(F.col("toxic"))
+    cells = cells.withColumn("toxic", F.least(F.col("toxic"), varied.cast("long")))
+
+    def weight(less_toxic: int, less_clean: int) -> Column:
+        toxic, fine = F.greatest(F.col("toxic") - less_toxic, F.lit(0)), F.greatest(F.col("clean") - less_clean, F.lit(0))
+        t, c = toxic + prior, fine + prior
+        no_t, no_c = float(count["toxic"]) - less_toxic - toxic + o.prior_flat, float(count["clean"]) - less_clean - fine + o.prior_flat
+        odds = F.log(t / no_t) - F.log(c / no_c)
+        z = odds / F.sqrt(1 / t + 1 / c + 1 / no_t + 1 / no_c)
+        return F.when((z >= o.least_z) & (odds >= o.least_odds), F.least(odds, F.lit(o.most_weight))).otherwise(-o.drift)
+
+    rows = cells.filter("toxic > 0").select("place", "clean", weight(0, 0).alias("w0"), weight(1, 0).alias("w1"), weight(0, 1).alias("w2"))
+    held = rows.filter("w0 > 0 or w1 > 0 or w2 > 0").toPandas()  # at most BUCKETS rows
+    place = held.place.to_numpy()
+    for row in range(3):
+        tables[row, place] = held[f"w{row}"].to_numpy()
+    # Under the clean rows' own weights; a place that only toxic rows hold has no share there.
+    share, worth = held.clean.to_numpy() / clean, tables[2, place].astype(np.float64)
     rest = 1.0 - share.sum()
 
     def moment(x: float) -> float:
-        return float((share * np.exp(x * weight)).sum() + rest * math.exp(-x * o.drift)) - 1.0
+        return float((share * np.exp(x * worth)).sum() + rest * math.exp(-x * o.drift)) - 1.0
 
     low, high = 1e-9, 20.0
     if moment(1e-6) >= 0:  # clean words rise on average: no scale exists, segments are taken as they are
-        return table, 1e-3
+        return tables, 1e-3
     for _ in range(100):
         middle = (low + high) / 2
         low, high = (middle, high) if moment(middle) < 0 else (low, middle)
-    return table, min(high, 3.0)
+    return tables, min(high, 3.0)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
@@ -253,16 +276,21 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         known = known.withColumnRenamed("_k", key).filter(teaches).withColumnRenamed(key, "_k")
     sample = stored(least_hashed(known, "_k", o.most_labelled, known.count()), "toxic-labels")  # bounded, so broadcast below
     rows = docs.select(F.col(key).cast("long").alias("_k"), F.col(text).cast("string").alias("_t"))
-    cells = rows.join(F.broadcast(sample), "_k", "left").select("_t", "_y").mapInArrow(tidy(_counted), "place int, corpus long, toxic long, clean long")
-    cells = stored(cells.groupBy("place").agg(*[F.sum(c).alias(c) for c in ("corpus", "toxic", "clean")]), "toxic-counts")
-    weights, scale = _weights(cells, o)
+    cells = rows.join(F.broadcast(sample), "_k", "left").select("_t", "_y").mapInArrow(tidy(_counted), "place int, corpus long, toxic long, clean long, contexts long")
+    cells = stored(cells.groupBy("place").agg(*[F.sum(c).alias(c) for c in ("corpus", "toxic", "clean")], F.bit_or("contexts").alias("contexts")), "toxic-counts")
+    tables, scale = _tables(cells, o)
+    weights = tables[0].copy()
     if not scale:
         return Model(weights, Calibration(), o)
-    shared = spark.sparkContext.broadcast(weights)
+    shared = spark.sparkContext.broadcast(tables[1:])
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(_scan(batch.column(0), shared.value, o.drift))
+            found = [None] * batch.num_rows
+            for row, label in enumerate((1, 0)):
+                at = np.flatnonzero(batch.column(2).to_numpy() == label)
+                for i, x in zip(at.tolist(), _scan(batch.column(0).take(pa.array(at)), shared.value[row], o.drift), strict=True):
+                    found[i] = x
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([n for n, _ in found], pa.int32()), pa.array([[s for _, _, s in f] for _, f in found], pa.list_(pa.float64()))], names=["k", "y", "n", "scores"])
 
     seen = rows.join(F.broadcast(sample), "_k").select("_t", "_k", "_y").mapInArrow(tidy(best), "k long, y int, n int, scores array<double>")
@@ -272,5 +300,5 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     clean = scale * top[y == 0] - np.log(n[y == 0])
     rough = Calibration(scale, float(clean.mean()) - 0.5772 if len(clean) else 0.0)  # a Gumbel variable's mean is log K + 0.5772
     x = np.array([rough.features([(0, 0, s) for s in scores], int(m)) for scores, m in zip(seen.scores, n, strict=True)]).reshape(-1, 2)
-    both = 0 < y.sum() < len(y)
+    both = bool(0 < y.sum() < len(y))
     return Model(weights, Calibration(scale, rough.log_k, _logistic(x, y) if both else (0.0, 0.0, 0.0), both), o)
