@@ -5,19 +5,37 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once a context, so that they need no copy of their own."""
+    context = spark.sparkContext
+    if getattr(context, "_lakeloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent.parent
+    target = Path(tempfile.mkdtemp(prefix="lakeloom-code-")) / "lakeloom.zip"
+    with zipfile.ZipFile(target, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, str(Path(root.name) / file.relative_to(root)))
+    context.addPyFile(str(target))
+    context._lakeloom_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; one of our own only where the session has none."""
+    ship(spark)
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()

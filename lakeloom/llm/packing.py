@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import ship, tidy
 from .tokens import encoder, tokenizer_path
 from .words import slices
 
@@ -108,6 +108,7 @@ def _packed(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id:
 
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, capacity: int = 2048, end_id: int = 0, open_bins: int = 4096, window_tokens: int = 2_000_000) -> DataFrame:
     """One row per piece: key, piece, start, length, ids (little-endian unsigned 32-bit), sequence_id, offset."""
+    ship(docs.sparkSession)
     path = tokenizer or tokenizer_path("word_bpe_49k.json")
     rows = docs.select(F.col(key).cast("long"), F.col(text).cast("string"))
     return rows.mapInArrow(tidy(lambda b: _packed(b, path, capacity, end_id, open_bins, window_tokens)), SCHEMA).withColumnRenamed("id", key)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import ship, tidy
 from .words import GOLDEN, U, mix, slices, stream, text_buffer
 
 _CODE = stream(23, 256)
@@ -266,6 +266,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), texts.slice(a, b - a), lists], names=["id", "t", "ids"])
 
+    ship(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long"), F.col(text).cast("string"))
     return rows.mapInArrow(tidy(sampled), "id long, t string, ids array<int>").toDF(key, text, "ids")
 
