@@ -55,7 +55,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: the lineage ends there."""
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what stored() wrote for these, which nothing may read any more."""
+    for df in frames:
+        drop_folder(df.sparkSession, df._stored_path)
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:

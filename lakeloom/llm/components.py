@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def _pairs(df: DataFrame) -> DataFrame:
@@ -43,8 +43,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now = stored(_pairs(clean), "edges")
     seen = _print(now)
     while seen[0]:
-        now = stored(_contract(now), "edges")
+        last, now = now, stored(_contract(now), "edges")
         before, seen = seen, _print(now)
+        discard(last)
         if seen == before:
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import superminhash as sm
-from .common import stored, tidy
+from .common import discard, stored, tidy
 from .components import components
 from .words import slices
 
@@ -223,6 +223,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     rep = F.when(F.col("id").isNotNull(), F.coalesce("rep", "id"))
     first = (F.col("id") == F.col("rep")) & (F.col("n_shingles") > 0)
     marked = stored(own.select("id", "n_shingles", rep.alias("rep"), F.when(first, F.col("sig")).alias("sig"), F.when(first, F.col("bands")).alias("bands")), "marked")
+    discard(signed)
     reps = marked.filter("sig is not null")
     repeated = stored(marked.filter("id is not null").groupBy("id").count().filter("count > 1").select("id"), "repeated")
     if not repeated.isEmpty():
@@ -236,6 +237,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     ranked = shared.join(central, "id").select("bkey", "band", "id", "met")
     leaders = ranked.groupBy("bkey").agg(F.max(F.struct("met", (-F.col("id")).alias("less"))).alias("x")).select("bkey", (-F.col("x.less")).alias("lead"))
     met = stored(ranked.drop("met").join(leaders, "bkey"), "met")
+    discard(shared)
 
     def screened(pairs: DataFrame) -> DataFrame:
         full = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
@@ -247,17 +249,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         return stored(full.select("a", "b", "ta", "tb").mapInArrow(tidy(lambda x: _confirmed(x, width, part, whole)), "a long, b long"), "links")
 
     to_leaders = met.filter("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
-    links = confirmed(stored(screened(to_leaders), "pairs"))
-    links = links.union(marked.filter("id <> rep").join(repeated, "id").select(F.col("id").alias("a"), F.col("rep").alias("b")))
+    pairs = stored(screened(to_leaders), "pairs")
+    confirmed_links = confirmed(pairs)
+    links = confirmed_links.union(marked.filter("id <> rep").join(repeated, "id").select(F.col("id").alias("a"), F.col("rep").alias("b")))
     comp = components(links)
+    discard(pairs, confirmed_links)
 
     at = met.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
     leads = at.filter("id = lead").select("bkey", F.col("comp").alias("lead_comp"))
     cells = stored(_blocks(at.join(leads, "bkey").select("bkey", "band", "id", "lead_comp", "comp")), "cells")
+    discard(met)
     texts = texts_of(docs, key, text, cells).hint("merge")
-    cells = cells.join(reps.select("id", "sig", "bands"), "id").join(texts, "id")
-    cells = cells.select("cell", "band", "role", "id", "comp", "outside", "sig", "bands", F.col("t")).repartition("cell").sortWithinPartitions("cell", "role")
-    found = stored(cells.mapInArrow(tidy(lambda x: _across(x, width, least, part, whole)), "a long, b long"), "links")
+    full = cells.join(reps.select("id", "sig", "bands"), "id").join(texts, "id")
+    full = full.select("cell", "band", "role", "id", "comp", "outside", "sig", "bands", F.col("t")).repartition("cell").sortWithinPartitions("cell", "role")
+    found = stored(full.mapInArrow(tidy(lambda x: _across(x, width, least, part, whole)), "a long, b long"), "links")
+    discard(cells)
     if not found.isEmpty():
         comp = components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found))
 

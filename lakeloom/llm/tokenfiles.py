@@ -89,8 +89,10 @@ def _block(ids: np.ndarray, end_id: int) -> tuple[int, int, np.ndarray]:
 def scan_token_files(spark: SparkSession, folder: str, end_id: int, width: int = 2, block_tokens: int = 1 << 21) -> DataFrame:
     """One row for each document: file, number (its place in the file), n_tokens (without the end), closed."""
     kind = {2: "<u2", 4: "<u4"}[width]
-    blocks = [(uri, i, at) for uri, size in list_files(folder, ".tok") for i, at in enumerate(range(0, size, block_tokens * width))]
-    plan = spark.createDataFrame(blocks, "uri string, block int, at long").repartition(max(1, len(blocks)))
+    files, step = list_files(folder, ".tok"), block_tokens * width
+    number = F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(step).cast("long"))).alias("block", "at")
+    plan = spark.createDataFrame([f for f in files if f[1]], "uri string, size long").select("uri", number)
+    plan = plan.repartition(max(1, sum(-(-size // step) for _, size in files)))
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -201,7 +201,7 @@ def write_arcs(rows: DataFrame, folder: str, name: str, url: str, payload: str,
                 stamp = EPOCH + timedelta(seconds=len(about))
                 about.append({"file": file(), "at": len(held), "name": key, "size": len(data), "digest": hashlib.sha256(data).hexdigest()})
                 held += _member(arc_record(version, "-" if key is None else key, address, data, stamp, file(), len(held)))
-                size += len(data)
+                size += len(data) + 256  # the lines around a payload count too, so that empty ones fill a file
                 if size >= most_bytes:
                     yield from close()
         yield from close()
