@@ -68,5 +68,7 @@ def test_files_roll_and_empty_table(spark):
     folder = warc.scratch(spark, "arc")
     index = warc.write_arcs(docs, folder, "page_id", "url", "html", most_bytes=5000).collect()
     assert len({r["file"] for r in index}) > 4 and len(archives.list_files(folder, ".arc.gz")) == len({r["file"] for r in index})
+    blank = spark.range(100).selectExpr("id AS page_id", "'' AS url", "'' AS html").coalesce(1)
+    assert len({r["file"] for r in warc.write_arcs(blank, warc.scratch(spark, "arc"), "page_id", "url", "html", most_bytes=5000).collect()}) > 3
     empty = docs.limit(0)
     assert warc.read_warcs(spark, warc.archive(empty, "page_id", "url", "html")).count() == 0
