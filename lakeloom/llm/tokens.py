@@ -45,7 +45,7 @@ class PartEncoder:
     the end of a part are looked up apart. Otherwise a space stays with the part it precedes.
     """
 
-    def __init__(self, path: str, drops_blanks: bool, most_parts: int = 300_000):
+    def __init__(self, path: str, drops_blanks: bool, most_parts: int = 450_000):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
