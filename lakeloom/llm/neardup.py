@@ -66,6 +66,13 @@ def signed_table(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     return rows.mapInArrow(tidy(lambda b: _signed(b, width)), "id long, n_shingles long, k1 long, k2 long, sig binary, bands array<long>")
 
 
+def _thin(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, where a row brings two texts or a text and its set."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, PLACES)
 
@@ -79,18 +86,21 @@ def _screened(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Reco
 
 def _confirmed(batches: Iterator[pa.RecordBatch], width: int, part: int, whole: int) -> Iterator[pa.RecordBatch]:
     """(a, b) of rows (a, b, ta, tb) whose full sets have whole * both >= part * either."""
-    for batch in batches:
-        held: dict[str, np.ndarray] = {}
-
-        def sets(column: pa.Array, held=held) -> list[np.ndarray]:
-            coded = column.dictionary_encode()
-            new = [t for t in coded.dictionary.to_pylist() if t not in held]
-            if new:
-                elements, offsets = sm.shingles(pa.array(new, pa.string()), width)
-                held.update((t, elements[offsets[i] : offsets[i + 1]]) for i, t in enumerate(new))
-            own = [held[t] for t in coded.dictionary.to_pylist()]
-            return [own[i] for i in coded.indices.to_pylist()]
-
+    held: dict[str, np.ndarray] = {}
+
+    def sets(column: pa.Array) -> list[np.ndarray]:
+        coded = column.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        new = [t for t in names if t not in held]
+        if new:
+            elements, offsets = sm.shingles(pa.array(new, pa.string()), width)
+            held.update((t, elements[offsets[i] : offsets[i + 1]]) for i, t in enumerate(new))
+        own = [held[t] for t in names]
+        return [own[i] for i in coded.indices.to_pylist()]
+
+    for batch in _thin(batches):
+        if len(held) > 1000:
+            held.clear()
         linked = []
         for x, y in zip(sets(batch.column(2)), sets(batch.column(3)), strict=True):
             both = _common(x, y) if len(x) and len(y) else 0
@@ -154,7 +164,7 @@ def _across(batches: Iterator[pa.RecordBatch], width: int, least: int, part: int
     role, left rows first. One link for each left row and component is enough.
     """
     cell, held = None, _Cell()
-    for batch in batches:
+    for batch in _thin(batches):
         cells, band, roles, ids, comps, outside = (np.asarray(batch.column(i)) for i in range(6))
         sigs, bands, texts = _matrix(batch.column(6)), _bands(batch.column(7)), batch.column(8)
         links: list[tuple[int, int]] = []

@@ -13,7 +13,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from .words import GOLDEN, U, hash_words, mix, stream
+from .words import GOLDEN, U, hash_words, mix, slices, stream
 
 EMPTY = U(0xFFFFFFFFFFFFFFFF)
 _TRACED = 8
@@ -24,6 +24,12 @@ def shingles(texts: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
 
     A text of fewer words has its whole sequence as its one shingle; without words it has none.
     """
+    parts = [_shingles(texts.slice(a, b - a), width) for a, b in slices(texts)]  # hashing takes some 40 bytes a byte
+    sizes = np.concatenate([np.diff(o) for _, o in parts]) if parts else np.zeros(0, dtype=np.int64)
+    return np.concatenate([e for e, _ in parts]) if parts else np.zeros(0, dtype=np.uint64), np.r_[0, np.cumsum(sizes)]
+
+
+def _shingles(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     words = hash_words(texts)
     n = words.counts
     factors = stream(97, width)
