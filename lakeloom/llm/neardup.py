@@ -196,7 +196,7 @@ def _across(batches: Iterator[pa.RecordBatch], width: int, least: int, part: int
 def _blocks(met: DataFrame) -> DataFrame:
     """Rows (bkey, band, id, lead_comp, comp) of mixed buckets, dealt to the cells where blocks meet."""
     sizes = met.groupBy("bkey").agg(F.count("*").alias("n"), F.count_if(F.expr("comp <> lead_comp")).alias("n_out"))
-    met = met.join(sizes.filter("n_out > 0"), "bkey").withColumn("outside", F.expr("comp <> lead_comp"))
+    met = met.join(stored(sizes.filter("n_out > 0"), "sizes"), "bkey").withColumn("outside", F.expr("comp <> lead_comp"))
     lefts, rights = F.ceil(F.col("n_out") / LEFT_BLOCK).cast("int"), F.ceil(F.col("n") / RIGHT_BLOCK).cast("int")
     spread = F.xxhash64("id")
     own_left, own_right = F.pmod(spread, lefts).cast("int"), F.pmod(F.shiftright(spread, 20), rights).cast("int")
@@ -229,11 +229,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     least = int(PLACES * max(0.0, part / whole - 5 * (part / whole * (1 - part / whole) / PLACES) ** 0.5))
     signed = stored(signed_table(docs, key, text, width), "signed")
     classes = signed.filter("n_shingles > 0 and id is not null").groupBy("n_shingles", "k1", "k2").agg(F.min("id").alias("rep"))
+    # Aggregates are written before they are joined back: then both sides of the join are shuffles,
+    # and a key that holds much of the table can be split.
+    classes = stored(classes, "classes")
     own = signed.join(classes, ["n_shingles", "k1", "k2"], "left")
     rep = F.when(F.col("id").isNotNull(), F.coalesce("rep", "id"))
     first = (F.col("id") == F.col("rep")) & (F.col("n_shingles") > 0)
     marked = stored(own.select("id", "n_shingles", rep.alias("rep"), F.when(first, F.col("sig")).alias("sig"), F.when(first, F.col("bands")).alias("bands")), "marked")
-    discard(signed)
+    discard(signed, classes)
     reps = marked.filter("sig is not null")
     repeated = stored(marked.filter("id is not null").groupBy("id").count().filter("count > 1").select("id"), "repeated")
     if not repeated.isEmpty():
@@ -241,13 +244,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     sigs = reps.select("id", "sig")
 
     banded = reps.select("id", F.posexplode("bands").alias("band", "bkey"))
-    buckets = banded.groupBy("bkey").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = stored(banded.join(buckets, "bkey"), "buckets")
+    buckets = stored(banded.groupBy("bkey").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
+    shared = stored(banded.join(buckets, "bkey"), "shared")
     central = shared.groupBy("id").agg(F.sum("n").alias("met"))
     ranked = shared.join(central, "id").select("bkey", "band", "id", "met")
     leaders = ranked.groupBy("bkey").agg(F.max(F.struct("met", (-F.col("id")).alias("less"))).alias("x")).select("bkey", (-F.col("x.less")).alias("lead"))
+    leaders = stored(leaders, "leaders")
     met = stored(ranked.drop("met").join(leaders, "bkey"), "met")
-    discard(shared)
+    discard(shared, buckets, leaders)
 
     def screened(pairs: DataFrame) -> DataFrame:
         full = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
