@@ -4,9 +4,10 @@ Everything is DataFrame expressions. The list is learned by sequential covering:
 a conjunction of thresholds is grown by information gain on two thirds of the
 labelled rows, pruned on the other third, kept if it is precise there, and the
 rows it covers are set aside before the next one. Each step is one aggregation of
-labelled rows to counts per (feature, bin, label), which is all that reaches the
-driver: its size depends on the number of features and thresholds only. The rules
-become one ordered CASE expression.
+labelled rows to counts per (feature, bin, label), and one to the two values next to the
+threshold taken, which is moved halfway between them. That is all that reaches the driver;
+its size depends on the number of features and thresholds only. The rules become one
+ordered CASE expression.
 
 Null and empty texts have no words: all counts are 0 and the base rule fails them.
 Null ids and repeated rows are judged like any others, since a verdict depends on
@@ -175,6 +176,13 @@ def _best(cells: dict[str, list[list[int]]], cuts: dict[str, list[float]], p0: i
     return top
 
 
+def _centred(rows: DataFrame, c: Condition) -> Condition:
+    """c with its threshold halfway between the nearest values on either side, which splits rows alike."""
+    x = F.col(c.feature)
+    low, high = rows.agg(F.max(F.when(x <= c.threshold, x)), F.min(F.when(x > c.threshold, x))).first()
+    return c if low is None or high is None else Condition(c.feature, c.above, (float(low) + float(high)) / 2)
+
+
 def learn_list(rows: DataFrame, features: Sequence[str] = (*SHARES, "n_words"), target: str = "_bad", max_rules: int = 8, max_conditions: int = 4, n_cuts: int = 24, min_precision: float = 0.9, min_share: float = 0.01) -> DecisionList:
     """Sequential covering over labelled rows with a boolean `_bad` and a boolean `_grow`.
 
@@ -198,6 +206,7 @@ def learn_list(rows: DataFrame, features: Sequence[str] = (*SHARES, "n_words"),
             _, best, pp, nn = _best(cells, cuts, p, n, max(3, int(min_share * p)))
             if best is None:
                 break
+            best = _centred(held, best)
             conditions.append(best)
             held, p, n = held.filter(best.column()), pp, nn
             cells = _counts(held, cuts)
