@@ -93,6 +93,13 @@ def least_hashed(df: DataFrame, key: str, k: int, n: int) -> DataFrame:
 Batches = Iterator[pa.RecordBatch]
 
 
+def thin(batches: Batches, rows: int = 512) -> Batches:
+    """The same rows in smaller batches, where a row brings long texts or is passed on whole."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def tidy(fn: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
     """fn, after which the worker gives back memory that Arrow and malloc keep for later.
 

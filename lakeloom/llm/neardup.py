@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import superminhash as sm
-from .common import discard, stored, tidy
+from .common import discard, stored, thin, tidy
 from .components import components
 from .words import slices
 
@@ -66,13 +66,6 @@ def signed_table(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     return rows.mapInArrow(tidy(lambda b: _signed(b, width)), "id long, n_shingles long, k1 long, k2 long, sig binary, bands array<long>")
 
 
-def _thin(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The same rows in smaller batches, where a row brings two texts or a text and its set."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, PLACES)
 
@@ -98,7 +91,7 @@ def _confirmed(batches: Iterator[pa.RecordBatch], width: int, part: int, whole:
         own = [held[t] for t in names]
         return [own[i] for i in coded.indices.to_pylist()]
 
-    for batch in _thin(batches):
+    for batch in thin(batches):
         if len(held) > 1000:
             held.clear()
         linked = []
@@ -164,7 +157,7 @@ def _across(batches: Iterator[pa.RecordBatch], width: int, least: int, part: int
     role, left rows first. One link for each left row and component is enough.
     """
     cell, held = None, _Cell()
-    for batch in _thin(batches):
+    for batch in thin(batches):
         cells, band, roles, ids, comps, outside = (np.asarray(batch.column(i)) for i in range(6))
         sigs, bands, texts = _matrix(batch.column(6)), _bands(batch.column(7)), batch.column(8)
         links: list[tuple[int, int]] = []

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import least_hashed, stored, tidy
+from .common import least_hashed, stored, thin, tidy
 from .words import U, hash_words, mix, slices
 
 BITS = 20
@@ -259,7 +259,7 @@ class Model:
 
         def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             weights, calibration, o = shared.value
-            for batch in batches:
+            for batch in thin(batches):
                 fine = [calibration.score(calibration.features(found, n)) < 0.5 for n, found in _scan(batch.column(at).cast(pa.string()), weights, o.drift)]
                 yield batch.filter(pa.array(fine, pa.bool_()))
 
