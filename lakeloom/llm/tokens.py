@@ -9,6 +9,7 @@ emptied when it holds `most_parts`, so memory does not grow with the input.
 
 from __future__ import annotations
 
+import os
 import unicodedata
 from array import array
 from functools import lru_cache
@@ -45,7 +46,8 @@ class PartEncoder:
     the end of a part are looked up apart. Otherwise a space stays with the part it precedes.
     """
 
-    def __init__(self, path: str, drops_blanks: bool, most_parts: int = 450_000):
+    def __init__(self, path: str, drops_blanks: bool, most_parts: int = 300_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one thread a task; each more would hold memory of its own
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
