@@ -1,21 +1,22 @@
-"""Language-model scores of texts by a hidden Markov model over hashed word classes.
+"""Language-model scores of texts by a hidden Markov model whose states emit words.
 
 A text is its words (A-Z lower-cased) and one end. Words are hashed to 64 bits; the top
-CLASS_BITS bits are the word's class, the end has a class of its own. The model is
+CLASS_BITS bits are the word's class, the end has a class of its own. Every training word has
+emissions of its own, expected counts per (word, state) in a distributed table with no bound
+on its rows. Classes serve to start them and as back-off (see Emissions):
 
-    P(text) = P(classes under the hidden Markov model) * product of P(word | class)
+    P(word | state) = (kept counts + back-off * P(class | state) * P(word | class)) / total
     P(word | class) = (c + 1) / (N_class + V_class + 1), as the base does for the corpus
 
-so all that training learns beyond word counts has a size fixed by CLASSES and the number of
-states. Word counts are exact, kept as a distributed table, and reach texts in two ways:
-the commonest word of each of HEAD slots through a broadcast table of that size, the rest
-through a join of (text, word) pairs with the counts.
+Words reach texts in two ways: the commonest word of each of HEAD slots through a broadcast
+table, all others through a join of (block of texts, word) pairs with the table; both hold
+the same counts. A block is some 16 MB of texts, chosen by hash of id and text.
 
 Training. Texts of a bounded sample (`seed_docs`, those with the least hash of their id) are
 clustered on the driver to start the states apart. Each Baum-Welch step then runs over all
-training texts, in stretches of STRETCH tokens: a task adds up expected starts, transitions
-and emissions, one row for each class leaves it, and the sums over tasks give the next
-model. Scoring runs the scaled forward recursion over whole texts, so likelihoods are exact.
+training texts, in stretches of STRETCH tokens: `steps` of them add up expected emissions by
+class, the last one by word. Scoring runs the scaled forward recursion over whole texts, so
+likelihoods are exact.
 
 Null and empty texts are the end alone. Rows without an id are scored but never teach. Repeated
 rows each count and are each scored. Without training texts all probabilities are those
@@ -29,7 +30,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +43,8 @@ HEAD_BITS = 18
 HEAD = 1 << HEAD_BITS
 END_HASH = U(0xE4D0F7E87E0CE1D5)
 STRETCH = 256
+UNIT = 1 << 16  # expected counts of words are kept as whole multiples of 1 / UNIT
+BLOCKS, BLOCK_BITS = 128, 24  # at least so many blocks of texts are scored, of about 16 MB where there are more
 
 
 def _classes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,7 +125,7 @@ class Chain:
             at += live[t]
         sums.start += g[first].sum(axis=0)
         for i in range(k):
-            sums.emit[:, i] += np.bincount(where, weights=gamma[:, i], minlength=CLASSES)
+            sums.emit[:, i] += np.bincount(where, weights=gamma[:, i], minlength=len(sums.emit))
 
 
 @dataclass
@@ -209,6 +211,55 @@ def _step(texts: DataFrame, chain: Chain) -> Sums:
     return out
 
 
+def _word_step(texts: DataFrame, chain: Chain) -> DataFrame:
+    """Expected counts of one pass by word: row null, h, c tokens, s0.. in units of 1 / UNIT; starts and transitions in rows 0, 1 + i."""
+    k = len(chain.start)
+    shared = texts.sparkSession.sparkContext.broadcast(chain)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            for a, b in slices(batch.column(0), 6 << 20):
+                hashes, classes, offsets = _classes(batch.column(0).slice(a, b - a))
+                held, one, words = np.unique(hashes, return_index=True, return_inverse=True)
+                own = Chain(model.start, model.move, model.emit[classes[one]])
+                sums = Sums(np.zeros(k), np.zeros((k, k)), np.zeros((len(held), k)))
+                begin, sizes, first = _stretches(offsets)
+                for at in range(0, len(begin), 2048):
+                    cut = slice(at, at + 2048)
+                    own.expect(words, begin[cut], sizes[cut], first[cut], sums)
+                table = np.rint(np.vstack([sums.emit, sums.start[None, :], sums.move]) * UNIT).astype(np.int64)
+                n = len(held)
+                row = pa.array(np.r_[np.zeros(n, dtype=np.int32), np.arange(k + 1, dtype=np.int32)], mask=np.arange(n + k + 1) < n)
+                yield pa.RecordBatch.from_arrays([
+                    row,
+                    pa.array(np.r_[held.view(np.int64), np.zeros(k + 1, dtype=np.int64)]),
+                    pa.array(np.r_[np.bincount(words, minlength=n), np.zeros(k + 1, dtype=np.int64)]),
+                    *(pa.array(np.ascontiguousarray(table[:, i])) for i in range(k)),
+                ], names=["row", "h", "c", *(f"s{i}" for i in range(k))])
+
+    rows = texts.mapInArrow(tidy(counted), "row int, h long, c long, " + ", ".join(f"s{i} long" for i in range(k)))
+    return stored(rows.groupBy("row", "h").agg(*[F.sum(x).alias(x) for x in ("c", *(f"s{i}" for i in range(k)))]), "word-states")
+
+
+@dataclass
+class Emissions:
+    """P(word | state) / P(word | class) from a word's expected counts, backed off to its class.
+
+    A word seen c times keeps c / (c + 1) of its expected counts; what is taken off and
+    `weight` tokens go to the class model, so that the words of a state still sum to one.
+    """
+
+    emit: np.ndarray  # (CLASSES, K): of the classes
+    class_size: np.ndarray  # N + V + 1 of each class; 1 for the end
+    total: np.ndarray  # (K): expected tokens and weight
+    back: np.ndarray  # (K): the class model's part
+
+    def of(self, hashes: np.ndarray, classes: np.ndarray, counts: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        share = np.where(classes == END, 1.0, (counts + 1) / self.class_size[classes])
+        return sums * (counts / (counts + 1) / share)[:, None] / self.total + self.back * self.emit[classes]
+
+
 @dataclass
 class Model:
     chain: Chain
@@ -217,58 +268,76 @@ class Model:
     words: int
     class_log: np.ndarray  # log10(N + V + 1) of each class; 0 for the end
     head: np.ndarray  # the hash in each slot
-    head_log: np.ndarray  # log10(c + 1)
+    head_counts: np.ndarray
+    head_sums: np.ndarray  # (HEAD, K) expected counts
     end_count: int
+    end_sums: np.ndarray
+    emissions: Emissions
+    states: DataFrame  # h, c, s0..: expected counts of all words, in units of 1 / UNIT
 
     def score(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         """key, n_tokens, n_known, train_tokens, base_score, score."""
-        shared = docs.sparkSession.sparkContext.broadcast((self.chain, self.class_log, self.head, self.head_log, self.end_count))
-
-        def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            chain, class_log, head, head_log, end_count = shared.value
-            at = TaskContext.get().partitionId() << 36
-            pair = pa.struct([("h", pa.int64()), ("tf", pa.int32())])
+        k, tokens = len(self.chain.start), self.tokens
+        base_log = float(np.log10(self.tokens + self.words + 1.0))
+        shared = docs.sparkSession.sparkContext.broadcast((self.chain, self.class_log, self.head, self.head_counts, self.head_sums, self.end_count, self.end_sums, self.emissions))
+        size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
+        rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+        rows = rows.select(F.pmod(F.xxhash64("id", "text"), F.lit(max(BLOCKS, size >> BLOCK_BITS))).alias("block"), "id", "text")
+
+        def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """The words of each block that are not in the head."""
+            head = shared.value[2]
             for batch in batches:
                 for a, b in slices(batch.column(1), 16 << 20):
                     hashes, classes, offsets = _classes(batch.column(1).slice(a, b - a))
-                    n, first = b - a, offsets[:-1]
-                    slot = (hashes & U(HEAD - 1)).astype(np.int64)
-                    ended = classes == END
-                    known = (head[slot] == hashes) & ~ended
-                    logs = np.where(known, head_log[slot], 0.0)
-                    rest = np.flatnonzero(~known & ~ended)
-                    own = np.repeat(np.arange(n), np.diff(offsets))[rest]
-                    order = np.lexsort((hashes[rest], own))
-                    own, left = own[order], hashes[rest][order]
-                    new = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (left[1:] != left[:-1])]) if len(own) else np.zeros(0, dtype=np.int64)
-                    times = np.diff(np.r_[new, len(own)]).astype(np.int32)
-                    cuts = np.searchsorted(own[new], np.arange(n + 1)).astype(np.int32)
-                    tail = pa.ListArray.from_arrays(pa.array(cuts), pa.StructArray.from_arrays([pa.array(left[new].view(np.int64)), pa.array(times)], fields=list(pair)))
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(np.arange(at, at + n)),
-                        batch.column(0).slice(a, n),
-                        pa.array(np.diff(offsets)),
-                        pa.array(np.add.reduceat(known.astype(np.int64), first) + int(end_count > 0)),
-                        pa.array(np.add.reduceat(logs, first)),
-                        pa.array(chain.likelihood(classes, offsets) - np.add.reduceat(class_log[classes], first)),
-                        tail,
-                    ], names=["row", "id", "n_tokens", "n_head", "head_log", "chain_log", "tail"])
-                    at += n
-
-        schema = "row long, id long, n_tokens long, n_head long, head_log double, chain_log double, tail array<struct<h:long,tf:int>>"
-        rows = stored(docs.select(F.col(key).cast("long"), F.col(text).cast("string")).mapInArrow(tidy(scored), schema), "scored")
-        tail = rows.select("row", F.explode("tail").alias("x")).select("row", "x.h", "x.tf").join(self.counts, "h")
-        tail = tail.groupBy("row").agg(F.sum("tf").alias("n_tail"), F.sum(F.col("tf") * F.log10(F.col("c") + 1.0)).alias("tail_log"))
-        words_log = F.col("head_log") + F.coalesce("tail_log", F.lit(0.0))
-        base = words_log + float(np.log10(self.end_count + 1.0)) - F.col("n_tokens") * float(np.log10(self.tokens + self.words + 1.0))
-        return rows.drop("tail").join(tail, "row", "left").select(
-            F.col("id").alias(key),
-            "n_tokens",
-            (F.col("n_head") + F.coalesce("n_tail", F.lit(0))).alias("n_known"),
-            F.lit(self.tokens).cast("long").alias("train_tokens"),
-            base.alias("base_score"),
-            (words_log + F.col("chain_log")).alias("score"),
-        )
+                    left = np.flatnonzero((head[(hashes & U(HEAD - 1)).astype(np.int64)] != hashes) & (classes != END))
+                    block = np.repeat(batch.column(0).slice(a, b - a).to_numpy(), np.diff(offsets))[left]
+                    order = np.lexsort((hashes[left], block))
+                    block, words = block[order], hashes[left][order]
+                    new = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (words[1:] != words[:-1])]) if len(block) else np.zeros(0, dtype=np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(block[new]), pa.array(words[new].view(np.int64))], names=["block", "h"])
+
+        def scored(texts: pa.Table, found: pa.Table) -> pa.Table:
+            chain, class_log, head, head_counts, head_sums, end_count, end_sums, emissions = shared.value
+            own, at = np.unique(found["h"].to_numpy().view(np.uint64), return_index=True)
+            own_counts, own_sums = found["c"].to_numpy()[at], np.column_stack([found[f"s{i}"].to_numpy()[at] for i in range(k)]) / UNIT
+            column, out = texts["text"].combine_chunks(), []
+            for a, b in slices(column, 16 << 20):
+                hashes, classes, offsets = _classes(column.slice(a, b - a))
+                held, one, words = np.unique(hashes, return_index=True, return_inverse=True)
+                kind = classes[one]
+                slot = (held & U(HEAD - 1)).astype(np.int64)
+                common = (head[slot] == held) & (kind != END)
+                counts, sums = np.where(common, head_counts[slot], 0), np.where(common[:, None], head_sums[slot], 0.0)
+                if len(own):
+                    place = np.minimum(np.searchsorted(own, held), len(own) - 1)
+                    rare = (own[place] == held) & ~common & (kind != END)
+                    counts[rare], sums[rare] = own_counts[place[rare]], own_sums[place[rare]]
+                counts[kind == END], sums[kind == END] = end_count, end_sums
+                model = Chain(chain.start, chain.move, emissions.of(held, kind, counts, sums))
+                logs, first, n = np.log10(counts + 1.0), offsets[:-1], np.diff(offsets)
+                inner = np.where(kind == END, 0.0, logs)
+                out.append((
+                    n,
+                    np.add.reduceat((counts > 0)[words].astype(np.int64), first),
+                    np.add.reduceat(logs[words], first) - n * base_log,
+                    np.add.reduceat((inner - class_log[kind])[words], first) + model.likelihood(words, offsets),
+                ))
+            n, known, base, score = (np.concatenate(x) for x in zip(*out, strict=True)) if out else [np.zeros(0)] * 4
+            pa.default_memory_pool().release_unused()
+            return pa.table({
+                key: texts["id"],
+                "n_tokens": pa.array(n, pa.int64()),
+                "n_known": pa.array(known, pa.int64()),
+                "train_tokens": pa.array(np.full(len(n), tokens), pa.int64()),
+                "base_score": pa.array(base, pa.float64()),
+                "score": pa.array(score, pa.float64()),
+            })
+
+        pairs = rows.select("block", "text").mapInArrow(tidy(rest), "block long, h long")
+        found = pairs.join(self.states, "h").select("block", "h", "c", *(f"s{i}" for i in range(k)))
+        schema = f"{key} long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+        return rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(scored, schema)
 
 
 def fit(docs: DataFrame, teaches: Column, key: str = "doc_id", text: str = "text", states: int = 8, steps: int = 2, seed_docs: int = 800, weight: float = 10_000.0) -> Model:
@@ -288,15 +357,30 @@ def fit(docs: DataFrame, teaches: Column, key: str = "doc_id", text: str = "text
     share = size + kinds + 1
     share[END] = ends + 1
     share /= share.sum()
-    top = of_words.groupBy(F.col("h").bitwiseAND(F.lit(HEAD - 1)).cast("int").alias("slot")).agg(F.max(F.struct("c", "h")).alias("x")).select("slot", "x.c", "x.h").toPandas()  # at most HEAD rows
-    head, head_log = np.zeros(HEAD, dtype=np.uint64), np.zeros(HEAD)
-    slots = top["slot"].to_numpy()
-    head[slots], head_log[slots] = top["h"].to_numpy().view(np.uint64), np.log10(top["c"].to_numpy() + 1.0)
     sample = least_hashed(own, "_k", seed_docs, ends).toPandas()
+    names = [f"s{i}" for i in range(states)]
     if len(sample):
         chain = seed_chain(pa.array(sample["_t"], pa.string()), states, share, weight)
         for _ in range(steps):
             chain = _step(texts, chain).chain(share, weight)
+        sums = _word_step(texts, chain)
+        moved = np.zeros((states + 1, states))
+        for x in sums.filter("row is not null").collect():  # states + 1 rows
+            moved[x["row"]] = [x[i] / UNIT for i in names]
+        chain = Chain((moved[0] + 1) / (moved[0] + 1).sum(), (moved[1:] + 1) / (moved[1:] + 1).sum(axis=1, keepdims=True), chain.emit)
+        held = sums.filter("row is null").drop("row")
     else:
         chain = Chain(np.full(states, 1 / states), np.full((states, states), 1 / states), np.repeat(share[:, None], states, axis=1))
-    return Model(chain, counts, tokens, words, class_log, head, head_log, ends)
+        held = docs.sparkSession.createDataFrame([], "h long, c long, " + ", ".join(f"{x} long" for x in names))
+    of_words = held.filter(F.col("h") != end)
+    sizes = held.agg(*[F.sum(F.col(x) / UNIT) for x in names], *[F.sum(F.col(x) / UNIT / (F.col("c") + 1)) for x in names]).first()
+    sizes = np.array([x or 0.0 for x in sizes]).reshape(2, states)
+    class_size = 10**class_log
+    emissions = Emissions(chain.emit, class_size, sizes[0] + weight, (sizes[1] + weight) / (sizes[0] + weight))
+    top = of_words.groupBy(F.col("h").bitwiseAND(F.lit(HEAD - 1)).cast("int").alias("slot")).agg(F.max(F.struct("c", "h", *names)).alias("x")).select("slot", "x.*").toPandas()  # at most HEAD rows
+    head, head_counts, head_sums = np.zeros(HEAD, dtype=np.uint64), np.zeros(HEAD, dtype=np.int64), np.zeros((HEAD, states))
+    slots = top["slot"].to_numpy()
+    head[slots], head_counts[slots], head_sums[slots] = top["h"].to_numpy().view(np.uint64), top["c"].to_numpy(), top[names].to_numpy() / UNIT
+    ended = held.filter(F.col("h") == end).first()
+    end_sums = np.array([ended[x] / UNIT for x in names]) if ended else np.zeros(states)
+    return Model(chain, counts, tokens, words, class_log, head, head_counts, head_sums, ends, end_sums, emissions, held)

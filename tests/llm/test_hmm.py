@@ -114,3 +114,31 @@ def test_query_beats_the_base_on_held_out_rows(spark, sf_dir):
     assert out.columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     r = out.groupBy("held_out").agg(F.sum("base_score").alias("b"), F.sum("score").alias("s")).collect()
     assert len(r) == 2 and all(x["s"] > x["b"] for x in r)
+
+
+def same_class():
+    seen = {}
+    for i in itertools.count():
+        kind = int(hmm._classes(pa.array([f"w{i}"]))[1][0])
+        if kind in seen:
+            return seen[kind], f"w{i}"
+        seen[kind] = f"w{i}"
+
+
+@pytest.mark.parametrize("head", [2, 1 << 18])
+def test_words_of_a_class_have_states_of_their_own(spark, monkeypatch, head):
+    """Two equally common words of one class in different company; the table of words is the same by either way."""
+    monkeypatch.setattr(hmm, "HEAD", head)
+    one, two = same_class()
+    rows = [(i, f"a b c a b c {one} a b" if i % 2 else f"x y z x y z {two} x y") for i in range(60)]
+    model = hmm.fit(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(True), states=2, weight=1.0)
+    asked = spark.createDataFrame([(1, f"a b c {one} a"), (2, f"a b c {two} a"), (3, f"x y z {one} x"), (4, f"x y z {two} x")], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in model.score(asked).collect()}
+    assert got[1] > got[2] + 0.5 and got[4] > got[3] + 0.5
+    held = model.states.toPandas()
+    hashes = held["h"].to_numpy().view(np.uint64)
+    kinds = np.where(hashes == hmm.END_HASH, hmm.END, hashes >> np.uint64(48)).astype(int)
+    of = model.emissions.of(hashes, kinds, held["c"].to_numpy(), held[["s0", "s1"]].to_numpy() / hmm.UNIT)
+    share = np.where(kinds == hmm.END, 1.0, (held["c"].to_numpy() + 1) / model.emissions.class_size[kinds])
+    unseen = 1 / model.emissions.class_size[:-1] @ (model.emissions.back * model.chain.emit[:-1])
+    assert np.allclose(share @ of + unseen, 1, atol=1e-4)
