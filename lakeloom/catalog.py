@@ -66,6 +66,10 @@ add("join_chain", """SELECT ?line ?price ?n ?nation ?region WHERE { ?l a tp:Line
     ?o tp:customer ?c . ?c tp:custname ?n ; tp:custnation ?k . ?k tp:nname ?nation ; tp:nregion ?r . ?r tp:rname ?region . FILTER(?q >= 49) }""",
     """SELECT l_linenumber AS line, l_extendedprice AS price, c_name AS n, n_name AS nation, r_name AS region FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
     JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE l_quantity >= 49""", BOTH)
+add("join_chain_all", """SELECT ?line ?price ?n ?nation ?region WHERE { ?l a tp:Lineitem ; tp:order ?o ; tp:linenumber ?line ; tp:extendedprice ?price .
+    ?o tp:customer ?c . ?c tp:custname ?n ; tp:custnation ?k . ?k tp:nname ?nation ; tp:nregion ?r . ?r tp:rname ?region }""",
+    """SELECT l_linenumber AS line, l_extendedprice AS price, c_name AS n, n_name AS nation, r_name AS region FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+    JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""", BOTH)
 _MULTI = """SELECT ?status ?part ?supplier ?q WHERE { ?l a tp:Lineitem ; tp:order ?o ; tp:part ?p ; tp:supplier ?s ; tp:quantity ?q . ?o tp:orderstatus ?status . ?p tp:name ?part ; tp:size ?size .
     ?s tp:suppname ?supplier . FILTER(?size = 7) }"""
 _MULTI_SQL = """SELECT o_orderstatus AS status, p_name AS part, s_name AS supplier, l_quantity AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
@@ -127,7 +131,9 @@ def _extra(*maps: str) -> Callable[[SparkSession, str], Engine]:
 
 
 def _transform(name: str, clause: str, condition: str, where: str = "TRUE") -> None:
-    """orders -> customers by name, the join column transformed on one side or both."""
+    """orders -> customers by name, the join column transformed on one side or both; ..._all over all orders."""
+    add(f"{name}_all", f"SELECT ?o ?k ?seg WHERE {{ ?o a tp:Orders ; tp:customer ?k . ?k a tp:Named ; tp:nseg ?seg }} TRANSFORM({clause})",
+        f"SELECT o_orderkey AS o, c_name AS k, c_mktsegment AS seg FROM orders JOIN customer ON {condition} WHERE {where}", BOTH, build=_extra(_NAMED))
     add(name, f"SELECT ?o ?k ?seg WHERE {{ ?o a tp:Orders ; tp:customer ?k ; tp:totalprice ?t . ?k a tp:Named ; tp:nseg ?seg . FILTER(?t > 200000) }} TRANSFORM({clause})",
         f"SELECT o_orderkey AS o, c_name AS k, c_mktsegment AS seg FROM orders JOIN customer ON {condition} WHERE o_totalprice > 200000 AND {where}", BOTH, build=_extra(_NAMED))
 
@@ -154,6 +160,8 @@ _FNO = """
 """
 add("transform_mapping", "SELECT ?o ?k ?seg WHERE { ?o a tp:Orders ; tp:customer ?k ; tp:totalprice ?t . ?k a tp:Keyed ; tp:kseg ?seg . FILTER(?t > 200000) }",
     "SELECT o_orderkey AS o, o_custkey AS k, c_mktsegment AS seg FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 200000", build=_extra(_FNO))
+add("transform_mapping_all", "SELECT ?o ?k ?seg WHERE { ?o a tp:Orders ; tp:customer ?k . ?k a tp:Keyed ; tp:kseg ?seg }",
+    "SELECT o_orderkey AS o, o_custkey AS k, c_mktsegment AS seg FROM orders JOIN customer ON o_custkey = c_custkey", build=_extra(_FNO))
 
 # -- other sources ----------------------------------------------------------------------------
 
