@@ -107,9 +107,11 @@ add("having", "SELECT ?c (COUNT(*) AS ?n) WHERE { ?o a tp:Orders ; tp:customer ?
 add("group_after_join", "SELECT ?nation (COUNT(?o) AS ?n) (MAX(?t) AS ?top) WHERE { ?o a tp:Orders ; tp:customer ?c ; tp:totalprice ?t . ?c tp:custnation ?k . ?k tp:nname ?nation } GROUP BY ?nation",
     "SELECT n_name AS nation, count(*) AS n, max(o_totalprice) AS top FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1", BOTH)
 add("order_multi", "SELECT ?o ?s ?p WHERE { ?o a tp:Orders ; tp:orderstatus ?s ; tp:orderpriority ?p } ORDER BY ?s DESC(?p) ?o LIMIT 500", "SELECT o_orderkey AS o, o_orderstatus AS s, o_orderpriority AS p FROM orders ORDER BY s, p DESC, o LIMIT 500", BOTH)
+add("order_multi_all", "SELECT ?o ?s ?p WHERE { ?o a tp:Orders ; tp:orderstatus ?s ; tp:orderpriority ?p } ORDER BY ?s DESC(?p) ?o", "SELECT o_orderkey AS o, o_orderstatus AS s, o_orderpriority AS p FROM orders ORDER BY s, p DESC, o", BOTH)
 add("topk_distinct", "SELECT DISTINCT ?n ?b WHERE { ?p a tp:Part ; tp:name ?n ; tp:brand ?b } ORDER BY DESC(?n) ?b LIMIT 40", "SELECT DISTINCT p_name AS n, p_brand AS b FROM part ORDER BY n DESC, b LIMIT 40", BOTH)
 add("limit_offset", "SELECT ?c ?b WHERE { ?c a tp:Customer ; tp:acctbal ?b } ORDER BY ?c LIMIT 50 OFFSET 30", "SELECT c_custkey AS c, c_acctbal AS b FROM customer ORDER BY c LIMIT 50 OFFSET 30")
 add("order_unselected", "SELECT ?o WHERE { ?o a tp:Orders ; tp:totalprice ?t } ORDER BY DESC(?t) ?o LIMIT 100", "SELECT o_orderkey AS o FROM orders ORDER BY o_totalprice DESC, o LIMIT 100")
+add("order_unselected_all", "SELECT ?o WHERE { ?o a tp:Orders ; tp:totalprice ?t } ORDER BY DESC(?t) ?o", "SELECT o_orderkey AS o FROM orders ORDER BY o_totalprice DESC, o")
 
 # -- unions of sources, pattern algebra -------------------------------------------------------
 
