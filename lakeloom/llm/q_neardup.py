@@ -14,11 +14,20 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group; a document whose id is repeated stays once."""
-    gone = near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
-    repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    return left.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.filter("doc_id is null")) if repeated else left
+    """One document of each group. Rows that repeat id and text count once; an id with several texts has each compared on its own.
+
+    Such texts go by a hash of id and text from 2^62 up, so that of a group a document with an id of its own stays.
+    """
+    counts = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
+    if counts.limit(1).count():
+        own = docs.filter("doc_id is not null").dropDuplicates(["doc_id", "text"]).join(counts, "doc_id", "left")
+        hashed = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+        own = own.withColumn("_key", F.when(F.col("count").isNotNull(), hashed).otherwise(F.col("doc_id").cast("long")))
+        keyed = own.select("_key", *docs.columns).unionByName(docs.filter("doc_id is null").withColumn("_key", F.lit(None).cast("long")))
+    else:
+        keyed = docs.withColumn("_key", F.col("doc_id"))
+    gone = near_duplicates(keyed.select("_key", "text"), key="_key").filter("not kept").select(F.col("_key").alias("_gone")).distinct()
+    return keyed.join(gone, keyed["_key"] == F.col("_gone"), "left_anti").select(*docs.columns)
 
 
 OP3_SQL = r"""

@@ -137,3 +137,12 @@ def test_components_of_a_long_path(spark):
     order = random.Random(1).sample(range(n), n)
     found = components(spark.createDataFrame(list(zip(order, order[1:], strict=False)), "a long, b long"))
     assert found.filter("component = 0").count() == n
+
+
+def test_stage_keeps_every_text_of_a_repeated_id(spark):
+    from lakeloom.llm.q_neardup import stage
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (2, b), (2, c), (2, c), (3, c), (4, b), (5, a), (5, "one more text of its own here"), (None, "no id")]
+    got = stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == sorted([(0, "no id"), (1, a), (3, c), (4, b), (5, "one more text of its own here")])
