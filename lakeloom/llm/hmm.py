@@ -8,19 +8,27 @@ on its rows. Classes serve to start them and as back-off (see Emissions):
     P(word | state) = (kept counts + back-off * P(class | state) * P(word | class)) / total
     P(word | class) = (c + 1) / (N_class + V_class + 1), as the base does for the corpus
 
-Words reach texts in two ways: the commonest word of each of HEAD slots through a broadcast
-table, all others through a join of (block of texts, word) pairs with the table; both hold
-the same counts. A block is some 16 MB of texts, chosen by hash of id and text.
+Reading. Texts are hashed once. Chunks of some CHUNK bytes of text are written as rows with the
+distinct words of the chunk and each token's place among them; all later passes read these.
 
-Training. Texts of a bounded sample (`seed_docs`, those with the least hash of their id) are
-clustered on the driver to start the states apart. Each Baum-Welch step then runs over all
-training texts, in stretches of STRETCH tokens: `steps` of them add up expected emissions by
-class, the last one by word. Scoring runs the scaled forward recursion over whole texts, so
-likelihoods are exact.
+Training. All passes cover all training texts in full. The states start from groups of
+texts that lie on the same sides of the main axes of the class counts. Baum-Welch passes
+over classes then run until a pass gains less than `least_gain` (base 10 logarithm) a token; a
+last pass adds up expected emissions by word. Forward and backward recursions are vectorised
+over stretches of texts. A text longer than STRETCH is joined over its stretches by the
+exact transfer matrix of each, so that results do not depend on STRETCH.
+
+Scoring runs the scaled forward recursion over whole texts, so likelihoods are exact. Words
+reach texts in two ways: the commonest word of each of HEAD slots through a broadcast table,
+all others through a join of (block of chunks, word) pairs with the table of words. A word's
+shares of states are kept in 16 bits each; totals are taken over the shares as kept.
 
 Null and empty texts are the end alone. Rows without an id are scored but never teach. Repeated
-rows each count and are each scored. Without training texts all probabilities are those
-of an empty corpus. An empty table gives an empty result; only id and text are read.
+rows each count and are each scored; there are no ties to break but between equally common
+words of a slot, of which the one with the greatest hash is taken. A very long text is a chunk of its own, and takes
+some 40 bytes a byte of it while it is hashed. Without training texts all probabilities are
+those of an empty corpus. An empty table gives an empty result. Only id and text are read, so
+other columns cannot clash; the result's columns are fixed.
 """
 
 from __future__ import annotations
@@ -30,10 +38,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import least_hashed, stored, tidy
+from .common import ship, stored, tidy
 from .words import U, hash_words, mix, slices
 
 CLASS_BITS = 16
@@ -42,101 +51,121 @@ CLASSES = END + 1
 HEAD_BITS = 18
 HEAD = 1 << HEAD_BITS
 END_HASH = U(0xE4D0F7E87E0CE1D5)
-STRETCH = 256
-UNIT = 1 << 16  # expected counts of words are kept as whole multiples of 1 / UNIT
-BLOCKS, BLOCK_BITS = 128, 24  # at least so many blocks of texts are scored, of about 16 MB where there are more
+CHUNK, BLOCK_CHUNKS = 4 << 20, 2
+STRETCH, BATCH = 1024, 1 << 18  # tokens of a stretch, and of the stretches that are worked on together
+AXES = 16
+UNIT = 1 << 10  # expected counts of words are added up as whole multiples of 1 / UNIT
+SHARE = (1 << 16) - 1
 
 
-def _classes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word hashes with the end's, their classes, offsets) of the texts."""
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(word hashes with the end's, offsets) of the texts."""
     parts = [hash_words(texts.slice(a, b - a)) for a, b in slices(texts, 2 << 20)]  # hashing takes some 40 bytes a byte
     counts = np.concatenate([p.counts for p in parts]) if parts else np.zeros(0, dtype=np.int64)
-    n = len(counts)
     offsets = np.r_[0, np.cumsum(counts + 1)]
     hashes = np.full(offsets[-1], END_HASH, dtype=np.uint64)
     words = np.ones(len(hashes), dtype=bool)
     words[offsets[1:] - 1] = False
     hashes[words] = np.concatenate([p.hashes for p in parts]) if parts else np.zeros(0, dtype=np.uint64)
-    classes = (hashes >> U(64 - CLASS_BITS)).astype(np.int32)
-    classes[offsets[1:] - 1] = END
-    return hashes, classes, offsets
+    return hashes, offsets
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a, b in slices(batch.column(0), 12 << 20):
-            hashes, _, _ = _classes(batch.column(0).slice(a, b - a))
-            seen, counts = np.unique(hashes, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64)), pa.array(counts.astype(np.int64))], names=["h", "c"])
+def classes_of(words: np.ndarray) -> np.ndarray:
+    return np.where(words == END_HASH, END, (words >> U(64 - CLASS_BITS)).astype(np.int64))
 
 
 @dataclass
-class Chain:
-    """start (K), move (K, K), emit (CLASSES, K)."""
+class Chunk:
+    """Some texts: their ids, which of them teach, the distinct words, and each token's word."""
 
-    start: np.ndarray
-    move: np.ndarray
-    emit: np.ndarray
+    keys: pa.Array
+    teaches: np.ndarray
+    words: np.ndarray
+    codes: np.ndarray
+    offsets: np.ndarray
 
-    def likelihood(self, classes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """log10 P of each sequence, by the scaled forward recursion; none may be empty."""
-        sizes = np.diff(offsets)
-        order = np.argsort(-sizes, kind="stable")
-        begin, falling = offsets[:-1][order], -sizes[order]
-        scale = np.empty(len(classes))
-        alpha = np.zeros((0, len(self.start)))
-        for t in range(int(sizes.max(initial=0))):
-            live = int(np.searchsorted(falling, -t, side="left"))  # sequences longer than t
-            at = begin[:live] + t
-            alpha = (self.start if t == 0 else alpha[:live] @ self.move) * self.emit[classes[at]]
-            total = alpha.sum(axis=1)
-            alpha /= total[:, None]
-            scale[at] = total
-        return np.add.reduceat(np.log10(scale), offsets[:-1]) if len(sizes) else np.zeros(0)
-
-    def expect(self, classes: np.ndarray, begin: np.ndarray, sizes: np.ndarray, first: np.ndarray, sums: Sums) -> None:
-        """Add the expected counts of some stretches; first marks those at a text's start."""
-        order = np.argsort(-sizes, kind="stable")
-        begin, falling, first = begin[order], -sizes[order], first[order]
-        stay = self.start @ np.linalg.matrix_power(self.move, 64)  # where a stretch inside a text begins
-        longest, k = int(sizes.max()), len(self.start)
-        live = [int(np.searchsorted(falling, -t, side="left")) for t in range(longest)]
-        alphas, emits, scales = [], [], []
-        for t in range(longest):
-            e = self.emit[classes[begin[: live[t]] + t]]
-            alpha = (np.where(first[:, None], self.start, stay) if t == 0 else alphas[-1][: live[t]] @ self.move) * e
-            total = alpha.sum(axis=1, keepdims=True)
-            alphas.append(alpha / total)
-            emits.append(e)
-            scales.append(total)
-        gamma = np.empty((int(sizes.sum()), k))
-        where = np.empty(len(gamma), dtype=np.int64)
-        at, beta = 0, np.ones((0, k))
-        for t in range(longest - 1, -1, -1):
-            grown = np.ones((live[t], k))
-            if t + 1 < longest:
-                ahead = emits[t + 1] * beta / scales[t + 1]
-                grown[: live[t + 1]] = ahead @ self.move.T
-                sums.move += (alphas[t][: live[t + 1]].T @ ahead) * self.move
-            beta = grown
-            g = alphas[t] * beta
-            g /= g.sum(axis=1, keepdims=True)
-            gamma[at : at + live[t]], where[at : at + live[t]] = g, classes[begin[: live[t]] + t]
-            at += live[t]
-        sums.start += g[first].sum(axis=0)
-        for i in range(k):
-            sums.emit[:, i] += np.bincount(where, weights=gamma[:, i], minlength=len(sums.emit))
+    @classmethod
+    def of(cls, texts: pa.Array, keys: pa.Array | None = None, teaches: np.ndarray | None = None) -> Chunk:
+        hashes, offsets = _tokens(texts)
+        words, codes = np.unique(hashes, return_inverse=True)
+        n = len(texts)
+        return cls(pa.nulls(n, pa.int64()) if keys is None else keys, np.ones(n, dtype=bool) if teaches is None else teaches, words, codes.reshape(-1), offsets)
+
+    def teaching(self) -> Chunk:
+        """The same with only the texts that teach; words are kept."""
+        if self.teaches.all():
+            return self
+        sizes = np.diff(self.offsets)
+        return Chunk(self.keys.filter(pa.array(self.teaches)), self.teaches[self.teaches], self.words, self.codes[np.repeat(self.teaches, sizes)], np.r_[0, np.cumsum(sizes[self.teaches])])
+
+    FIELDS = "block long, keys array<long>, teaches array<boolean>, sizes array<long>, words binary, codes binary"
+
+    def row(self, block: int) -> pa.RecordBatch:
+        planes = np.ascontiguousarray(self.codes.astype("<u4").view(np.uint8).reshape(-1, 4).T)  # bytes of one weight together compress well
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (self.keys, pa.array(self.teaches), pa.array(np.diff(self.offsets)))]
+        return pa.RecordBatch.from_arrays([pa.array([block]), *lists, pa.array([self.words.astype("<u8").tobytes()]), pa.array([planes.tobytes()])], names=["block", "keys", "teaches", "sizes", "words", "codes"])
+
+    @classmethod
+    def read(cls, batch: pa.RecordBatch) -> Iterator[tuple[int, Chunk]]:
+        column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+        for i in range(batch.num_rows):
+            keys, teaches, sizes = (column[x][i].values for x in ("keys", "teaches", "sizes"))
+            codes = np.frombuffer(column["codes"][i].as_buffer(), dtype=np.uint8).reshape(4, -1).T
+            codes = np.ascontiguousarray(codes).view("<u4").reshape(-1).astype(np.int64)
+            words = np.frombuffer(column["words"][i].as_buffer(), dtype="<u8")
+            yield column["block"][i].as_py(), cls(keys, np.asarray(teaches.to_numpy(zero_copy_only=False), dtype=bool), words, codes, np.r_[0, np.cumsum(sizes.to_numpy(zero_copy_only=False))].astype(np.int64))
+
+
+def chunked(docs: DataFrame, teaches: Column, key: str, text: str) -> DataFrame:
+    """Chunk rows of all texts; at most BLOCK_CHUNKS of a task, one after the other, have one block number."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = 0
+        for batch in batches:
+            texts, flags = batch.column(1), batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            for a, b in slices(texts, CHUNK):
+                yield Chunk.of(texts.slice(a, b - a), batch.column(0).slice(a, b - a), flags[a:b]).row((TaskContext.get().partitionId() << 32) + number // BLOCK_CHUNKS)
+                number += 1
+
+    taught = F.coalesce(teaches, F.lit(False)) & F.col(key).isNotNull()
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"), taught.alias("y"))
+    return stored(rows.mapInArrow(tidy(cut), Chunk.FIELDS), "chunks", "zstd")
+
+
+# -- recursions -----------------------------------------------------------------------------
+
+
+class _Stretches:
+    """Some stretches, longest first, with their tokens in order of time: at each time, those that last so long."""
+
+    def __init__(self, codes: np.ndarray, begin: np.ndarray, sizes: np.ndarray):
+        self.order = np.argsort(-sizes, kind="stable")
+        begin, sizes = begin[self.order], sizes[self.order]
+        self.n, longest = len(sizes), int(sizes.max(initial=0))
+        self.live = np.searchsorted(-sizes, -np.arange(longest), side="left")
+        self.at = np.r_[0, np.cumsum(self.live)]
+        self.time = np.repeat(np.arange(longest), self.live)
+        self.row = np.arange(self.at[-1]) - self.at[self.time]
+        self.codes = codes[begin[self.row] + self.time]
+        self.last = self.at[sizes - 1] + np.arange(self.n)
+
+    def steps(self) -> Iterator[tuple[int, int, int]]:
+        """(begin, begin of the time before, rows) of each time but the first."""
+        return zip(self.at[1:-1].tolist(), self.at[:-2].tolist(), self.live[1:].tolist(), strict=True)
 
 
 @dataclass
 class Sums:
+    """Expected counts, and the log10 likelihood of what they come from."""
+
     start: np.ndarray
     move: np.ndarray
     emit: np.ndarray
+    likelihood: float = 0.0
 
     @classmethod
-    def zero(cls, k: int) -> Sums:
-        return cls(np.zeros(k), np.zeros((k, k)), np.zeros((CLASSES, k)))
+    def zero(cls, k: int, rows: int = CLASSES) -> Sums:
+        return cls(np.zeros(k), np.zeros((k, k)), np.zeros((rows, k)))
 
     def chain(self, share: np.ndarray, weight: float) -> Chain:
         """Expected counts to probabilities; `weight` tokens spread like `share` are added to each state."""
@@ -144,102 +173,267 @@ class Sums:
         return Chain((self.start + 1) / (self.start + 1).sum(), (self.move + 1) / (self.move + 1).sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
-def _stretches(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    sizes = np.diff(offsets)
-    parts = -(-sizes // STRETCH)
-    text = np.repeat(np.arange(len(sizes)), parts)
-    number = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
-    begin = offsets[:-1][text] + number * STRETCH
-    return begin, np.minimum(STRETCH, offsets[1:][text] - begin), number == 0
-
-
-def add_texts(chain: Chain, texts: pa.Array, sums: Sums) -> None:
-    for a, b in slices(texts, 6 << 20):
-        _, classes, offsets = _classes(texts.slice(a, b - a))
-        begin, sizes, first = _stretches(offsets)
-        for at in range(0, len(begin), 2048):
-            cut = slice(at, at + 2048)
-            chain.expect(classes, begin[cut], sizes[cut], first[cut], sums)
-
-
-def seed_chain(texts: pa.Array, states: int, share: np.ndarray, weight: float, rounds: int = 15) -> Chain:
-    """Cluster texts by their classes; each cluster starts as a state that mostly stays."""
-    _, classes, offsets = _classes(texts)
-    n = len(offsets) - 1
-    text = np.repeat(np.arange(n), np.diff(offsets))
-    draw = mix(np.arange(n * states, dtype=np.uint64) + U(1)).reshape(n, states) >> U(11)
-    post = draw / 2.0**53
-    for _ in range(rounds):
-        post /= post.sum(axis=1, keepdims=True)
-        emit = np.column_stack([np.bincount(classes, weights=post[text, k], minlength=CLASSES) for k in range(states)]) + weight * share[:, None] + 1e-12
-        emit /= emit.sum(axis=0)
-        logs = np.log(emit)
-        fit = np.column_stack([np.bincount(text, weights=logs[classes, k], minlength=n) for k in range(states)]) + np.log(post.mean(axis=0) + 1e-9)
-        post = np.exp(np.clip(fit - fit.max(axis=1, keepdims=True), -50, 0)) + 1e-9
-    move = np.full((states, states), 0.05 / max(1, states - 1))
-    np.fill_diagonal(move, 0.95 if states > 1 else 1.0)
-    start = post.mean(axis=0)
-    return Chain(start / start.sum(), move, emit)
-
-
-def _step(texts: DataFrame, chain: Chain) -> Sums:
-    """One Baum-Welch pass: the expected counts over all texts (a one-column DataFrame)."""
-    k = len(chain.start)
-    shared = texts.sparkSession.sparkContext.broadcast(chain)
+@dataclass
+class Chain:
+    """start (K), move (K, K), emit (rows, K): by class, or by whatever the codes of a call stand for."""
+
+    start: np.ndarray
+    move: np.ndarray
+    emit: np.ndarray
+
+    def transfer(self, codes: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """A matrix for each stretch, up to a factor: from the state at its first token, before it is seen, to that at its last, after."""
+        s, k = _Stretches(codes, begin, sizes), len(self.start)
+        emits = self.emit[s.codes]
+        out = np.eye(k) * emits[: s.n, None, :]
+        for t, (at, _, m) in enumerate(s.steps(), 1):
+            grown = (out[:m].reshape(-1, k) @ self.move).reshape(m, k, k) * emits[at : at + m, None, :]
+            out[:m] = grown if t % 8 else grown / grown.max(axis=(1, 2))[:, None, None]
+        back = np.empty_like(out)
+        back[s.order] = out
+        return back
+
+    def _batches(self, codes: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Stretches of some BATCH tokens: (text, begin, size, first, enter, before, leave).
+
+        enter is the state's distribution before a stretch, before that at the last token of
+        the stretch before, leave the backward variable at the stretch's last token, up to a factor.
+        """
+        size, k = np.diff(offsets), len(self.start)
+        parts = -(-size // STRETCH)
+        text = np.repeat(np.arange(len(size)), parts)
+        number = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
+        begin = offsets[:-1][text] + number * STRETCH
+        sizes = np.minimum(STRETCH, offsets[1:][text] - begin)
+        enter, before, leave = np.tile(self.start, (len(text), 1)), np.zeros((len(text), k)), np.ones((len(text), k))
+        long = np.flatnonzero(parts[text] > 1)
+        if len(long):
+            matrices = np.concatenate([self.transfer(codes, begin[long[a:b]], sizes[long[a:b]]) for a, b in _runs(sizes[long])])
+            held = self.start
+            for i, m in zip(long.tolist(), matrices, strict=True):
+                if number[i]:
+                    before[i], enter[i] = held, held @ self.move
+                held = enter[i] @ m
+                held = held / held.sum()
+            for j in range(len(long) - 1, 0, -1):
+                i = long[j]
+                if number[i]:
+                    back = self.move @ (matrices[j] @ leave[i])
+                    leave[i - 1] = back / back.sum()
+        order = np.argsort(-sizes, kind="stable")
+        for a, b in _runs(sizes[order]):
+            i = order[a:b]
+            yield text[i], begin[i], sizes[i], number[i] == 0, enter[i], before[i], leave[i]
+
+    def _forward(self, s: _Stretches, enter: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(scaled forward variables, emissions, scales) in the order of s."""
+        emits, ones = self.emit[s.codes], np.ones(len(self.start))
+        alpha, scale = np.empty_like(emits), np.empty(len(emits))
+        now = enter[s.order] * emits[: s.n]
+        scale[: s.n] = now @ ones
+        alpha[: s.n] = now / scale[: s.n, None]
+        for at, prior, m in s.steps():
+            now = alpha[prior : prior + m] @ self.move
+            now *= emits[at : at + m]
+            total = now @ ones
+            now /= total[:, None]
+            alpha[at : at + m], scale[at : at + m] = now, total
+        return alpha, emits, scale
+
+    def likelihood(self, codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """log10 P of each sequence, by the scaled forward recursion; none may be empty."""
+        out = np.zeros(len(offsets) - 1)
+        for text, begin, sizes, _, enter, _, _ in self._batches(codes, offsets):
+            s = _Stretches(codes, begin, sizes)
+            scale = self._forward(s, enter)[2]
+            out += np.bincount(text[s.order][s.row], weights=np.log10(scale), minlength=len(out))
+        return out
+
+    def expect(self, codes: np.ndarray, offsets: np.ndarray, sums: Sums) -> None:
+        """Add the expected counts of whole texts."""
+        for _, begin, sizes, first, enter, before, leave in self._batches(codes, offsets):
+            s = _Stretches(codes, begin, sizes)
+            alpha, emits, scale = self._forward(s, enter)
+            sums.likelihood += float(np.log10(scale).sum())
+            emits /= scale[:, None]
+            beta = np.empty_like(alpha)
+            leave = leave[s.order]
+            beta[s.last] = leave / (alpha[s.last] * leave).sum(axis=1, keepdims=True)
+            for at, prior, m in reversed(list(s.steps())):
+                emits[at : at + m] *= beta[at : at + m]  # now what lies ahead of the time before
+                beta[prior : prior + m] = emits[at : at + m] @ self.move.T
+            emits[: s.n] *= beta[: s.n]
+            later = s.row[s.n :] + s.at[s.time[s.n :] - 1]
+            inside = ~first[s.order]
+            sums.move += (alpha[later].T @ emits[s.n :] + before[s.order][inside].T @ emits[: s.n][inside]) * self.move
+            alpha *= beta
+            alpha /= alpha.sum(axis=1, keepdims=True)
+            sums.start += alpha[: s.n][~inside].sum(axis=0)
+            for i in range(alpha.shape[1]):
+                sums.emit[:, i] += np.bincount(s.codes, weights=alpha[:, i], minlength=len(sums.emit))
+
+
+def _runs(sizes: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges that hold some BATCH tokens each."""
+    run = np.cumsum(sizes) // BATCH
+    cuts = np.r_[0, np.flatnonzero(np.diff(run)) + 1, len(sizes)]
+    return [(int(a), int(b)) for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
+
+
+# -- training passes ------------------------------------------------------------------------
+
+
+def add_chunk(chain: Chain, chunk: Chunk, sums: Sums) -> None:
+    """Add a chunk's expected counts by class."""
+    kinds = classes_of(chunk.words)
+    own = Sums.zero(len(chain.start), len(kinds))
+    Chain(chain.start, chain.move, chain.emit[kinds]).expect(chunk.codes, chunk.offsets, own)
+    sums.start += own.start
+    sums.move += own.move
+    sums.likelihood += own.likelihood
+    for i in range(len(chain.start)):
+        sums.emit[:, i] += np.bincount(kinds, weights=own.emit[:, i], minlength=CLASSES)
+
+
+def _pass(chunks: DataFrame, k: int, add) -> Sums:
+    """Sums over all chunks of texts that teach, by add(chunk, sums)."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, any_rows = Sums.zero(k), False
         for batch in batches:
-            any_rows |= batch.num_rows > 0
-            add_texts(shared.value, batch.column(0), sums)
-        if any_rows:  # rows -1 - i: starts, then transitions from i - 1
-            table = np.vstack([sums.emit, sums.start[None, :], sums.move])
-            numbers = np.concatenate([np.arange(CLASSES), -1 - np.arange(k + 1)])
+            for _, chunk in Chunk.read(batch):
+                if chunk.teaches.any():
+                    any_rows = True
+                    add(chunk.teaching(), sums)
+        if any_rows:  # rows -1 - i: starts, transitions from i - 1, then the likelihood
+            table = np.vstack([sums.emit, sums.start[None, :], sums.move, np.full((1, k), sums.likelihood)])
+            numbers = np.concatenate([np.arange(CLASSES), -1 - np.arange(k + 2)])
             held = np.flatnonzero(table.any(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(numbers[held].astype(np.int32)), *(pa.array(table[held, i]) for i in range(k))], names=["row", *(f"s{i}" for i in range(k))])
 
-    rows = texts.mapInArrow(tidy(counted), "row int, " + ", ".join(f"s{i} double" for i in range(k)))
-    held = rows.groupBy("row").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(k)]).toPandas()  # at most CLASSES + k + 1 rows
+    rows = chunks.select("block", "keys", "teaches", "sizes", "words", "codes").mapInArrow(tidy(counted), "row int, " + ", ".join(f"s{i} double" for i in range(k)))
+    held = rows.groupBy("row").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(k)]).toPandas()  # at most CLASSES + k + 2 rows
     out, values = Sums.zero(k), held[[f"s{i}" for i in range(k)]].to_numpy()
     for number, value in zip(held["row"].to_numpy(), values, strict=True):
         if number >= 0:
             out.emit[number] = value
         elif number == -1:
             out.start = value
-        else:
+        elif number >= -1 - k:
             out.move[-number - 2] = value
+        else:
+            out.likelihood = float(value[0])
     return out
 
 
-def _word_step(texts: DataFrame, chain: Chain) -> DataFrame:
-    """Expected counts of one pass by word: row null, h, c tokens, s0.. in units of 1 / UNIT; starts and transitions in rows 0, 1 + i."""
+def _axes_table() -> np.ndarray:
+    """A row of AXES signs for each class."""
+    bits = np.unpackbits(mix(np.arange(1, CLASSES + 1, dtype=np.uint64)).view(np.uint8).reshape(-1, 8), axis=1)
+    return bits[:, :AXES].astype(np.float32) * 2 - 1
+
+
+def _sketches(chunk: Chunk) -> np.ndarray:
+    """Each text's mean sign on each axis."""
+    rows = _axes_table()[classes_of(chunk.words)]
+    return np.add.reduceat(rows[chunk.codes], chunk.offsets[:-1], axis=0).astype(np.float64) / np.diff(chunk.offsets)[:, None]
+
+
+def main_axes(chunks: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, the n axes of greatest variance) of the texts' sketches, each text weighed by its tokens; one pass over all."""
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 + AXES + AXES * AXES)
+        for batch in batches:
+            for _, chunk in Chunk.read(batch):
+                if chunk.teaches.any():
+                    chunk = chunk.teaching()
+                    x, w = _sketches(chunk), np.diff(chunk.offsets).astype(np.float64)
+                    total += np.r_[w.sum(), w @ x, ((x * w[:, None]).T @ x).reshape(-1)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["i", "x"])
+
+    rows = chunks.select("block", "keys", "teaches", "sizes", "words", "codes").mapInArrow(tidy(moments), "i int, x double")
+    held = {r["i"]: r["x"] for r in rows.groupBy("i").agg(F.sum("x").alias("x")).collect()}  # 1 + AXES + AXES^2 rows
+    total = np.array([held.get(i, 0.0) for i in range(1 + AXES + AXES * AXES)])
+    mean = total[1 : 1 + AXES] / max(total[0], 1.0)
+    spread = total[1 + AXES :].reshape(AXES, AXES) / max(total[0], 1.0) - np.outer(mean, mean)
+    _, axes = np.linalg.eigh(spread)
+    axes = axes[:, ::-1][:, :n]
+    return mean, axes * np.where(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])] < 0, -1, 1)
+
+
+def seed_sums(chunks: DataFrame, k: int) -> Sums:
+    """Class counts of k groups of all texts that teach, and their numbers of texts as starts."""
+    mean, axes = main_axes(chunks, max(1, (k - 1).bit_length()))
+
+    def add(chunk: Chunk, sums: Sums) -> None:
+        side = (_sketches(chunk) - mean) @ axes > 0
+        group = (side @ (1 << np.arange(axes.shape[1]))) % k
+        of_token, kinds = np.repeat(group, np.diff(chunk.offsets)), classes_of(chunk.words)
+        sums.start += np.bincount(group, minlength=k)
+        for i in range(k):
+            own = np.bincount(chunk.codes[of_token == i], minlength=len(kinds))
+            sums.emit[:, i] += np.bincount(kinds, weights=own, minlength=CLASSES)
+
+    return _pass(chunks, k, add)
+
+
+def train(chunks: DataFrame, k: int, weight: float, least_gain: float) -> tuple[Chain, list[float]]:
+    """Baum-Welch passes until one gains less than least_gain a token; gives what each pass found the log10 likelihood a token to be."""
+    seeds = seed_sums(chunks, k)
+    size = seeds.emit.sum(axis=1)
+    share = (size + 1) / (size + 1).sum()
+    chain = seeds.chain(share, weight)
+    move = np.full((k, k), 0.05 / max(1, k - 1))
+    np.fill_diagonal(move, 0.95 if k > 1 else 1.0)
+    chain = Chain(chain.start, move, chain.emit)
+    seen: list[float] = []
+    while size.sum():
+        shared = chunks.sparkSession.sparkContext.broadcast(chain)
+        sums = _pass(chunks, k, lambda chunk, sums, shared=shared: add_chunk(shared.value, chunk, sums))
+        chain = sums.chain(share, weight)
+        seen.append(sums.likelihood / size.sum())
+        if len(seen) > 1 and seen[-1] - seen[-2] < least_gain:
+            break
+    return chain, seen
+
+
+def word_states(chunks: DataFrame, chain: Chain) -> DataFrame:
+    """h, c tokens, and shares of the states packed four a column w0.. : the expected counts of all words that teach."""
     k = len(chain.start)
-    shared = texts.sparkSession.sparkContext.broadcast(chain)
+    shared = chunks.sparkSession.sparkContext.broadcast(chain)
+    names = [f"s{i}" for i in range(k)]
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for a, b in slices(batch.column(0), 6 << 20):
-                hashes, classes, offsets = _classes(batch.column(0).slice(a, b - a))
-                held, one, words = np.unique(hashes, return_index=True, return_inverse=True)
-                own = Chain(model.start, model.move, model.emit[classes[one]])
-                sums = Sums(np.zeros(k), np.zeros((k, k)), np.zeros((len(held), k)))
-                begin, sizes, first = _stretches(offsets)
-                for at in range(0, len(begin), 2048):
-                    cut = slice(at, at + 2048)
-                    own.expect(words, begin[cut], sizes[cut], first[cut], sums)
-                table = np.rint(np.vstack([sums.emit, sums.start[None, :], sums.move]) * UNIT).astype(np.int64)
-                n = len(held)
-                row = pa.array(np.r_[np.zeros(n, dtype=np.int32), np.arange(k + 1, dtype=np.int32)], mask=np.arange(n + k + 1) < n)
-                yield pa.RecordBatch.from_arrays([
-                    row,
-                    pa.array(np.r_[held.view(np.int64), np.zeros(k + 1, dtype=np.int64)]),
-                    pa.array(np.r_[np.bincount(words, minlength=n), np.zeros(k + 1, dtype=np.int64)]),
-                    *(pa.array(np.ascontiguousarray(table[:, i])) for i in range(k)),
-                ], names=["row", "h", "c", *(f"s{i}" for i in range(k))])
-
-    rows = texts.mapInArrow(tidy(counted), "row int, h long, c long, " + ", ".join(f"s{i} long" for i in range(k)))
-    return stored(rows.groupBy("row", "h").agg(*[F.sum(x).alias(x) for x in ("c", *(f"s{i}" for i in range(k)))]), "word-states")
+            for _, chunk in Chunk.read(batch):
+                chunk = chunk.teaching()
+                counts = np.bincount(chunk.codes, minlength=len(chunk.words))
+                sums = Sums.zero(k, len(chunk.words))
+                Chain(model.start, model.move, model.emit[classes_of(chunk.words)]).expect(chunk.codes, chunk.offsets, sums)
+                held = np.flatnonzero(counts)
+                table = np.rint(sums.emit[held] * UNIT).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(chunk.words[held].view(np.int64)), pa.array(counts[held]), *(pa.array(np.ascontiguousarray(table[:, i])) for i in range(k))], names=["h", "c", *names])
+
+    rows = chunks.select("block", "keys", "teaches", "sizes", "words", "codes").mapInArrow(tidy(counted), "h long, c long, " + ", ".join(f"{x} long" for x in names))
+    summed = rows.groupBy("h").agg(*[F.sum(x).alias(x) for x in ("c", *names)])
+    whole = F.greatest(sum((F.col(x) for x in names), F.lit(0)), F.lit(1))
+
+    def packed(some: list[str]) -> Column:
+        out = F.lit(0).cast("long")
+        for i, x in enumerate(some):
+            out = out.bitwiseOR(F.shiftleft(F.round(F.col(x) * SHARE / whole).cast("long"), 16 * i))
+        return out
+
+    return stored(summed.select("h", "c", *[packed(names[i : i + 4]).alias(f"w{i // 4}") for i in range(0, k, 4)]), "word-states")
+
+
+def unpacked(words: list[np.ndarray], counts: np.ndarray, k: int) -> np.ndarray:
+    """(rows, k) expected counts from packed shares."""
+    return np.column_stack([w.astype("<i8").view("<u2").reshape(-1, 4) for w in words])[:, :k] * (counts / SHARE)[:, None]
+
+
+# -- the model ------------------------------------------------------------------------------
 
 
 @dataclass
@@ -255,132 +449,124 @@ class Emissions:
     total: np.ndarray  # (K): expected tokens and weight
     back: np.ndarray  # (K): the class model's part
 
-    def of(self, hashes: np.ndarray, classes: np.ndarray, counts: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    def of(self, classes: np.ndarray, counts: np.ndarray, sums: np.ndarray) -> np.ndarray:
         share = np.where(classes == END, 1.0, (counts + 1) / self.class_size[classes])
         return sums * (counts / (counts + 1) / share)[:, None] / self.total + self.back * self.emit[classes]
 
 
+@dataclass
+class Head:
+    """The commonest word of each slot: hash, count, expected counts."""
+
+    words: np.ndarray
+    counts: np.ndarray
+    sums: np.ndarray
+
+    def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        slot = (words & U(len(self.words) - 1)).astype(np.int64)
+        return slot, (self.words[slot] == words) & (self.counts[slot] > 0)
+
+
 @dataclass
 class Model:
     chain: Chain
-    counts: DataFrame  # h, c: all training tokens
-    tokens: int
-    words: int
-    class_log: np.ndarray  # log10(N + V + 1) of each class; 0 for the end
-    head: np.ndarray  # the hash in each slot
-    head_counts: np.ndarray
-    head_sums: np.ndarray  # (HEAD, K) expected counts
-    end_count: int
-    end_sums: np.ndarray
     emissions: Emissions
-    states: DataFrame  # h, c, s0..: expected counts of all words, in units of 1 / UNIT
-
-    def score(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-        """key, n_tokens, n_known, train_tokens, base_score, score."""
-        k, tokens = len(self.chain.start), self.tokens
-        base_log = float(np.log10(self.tokens + self.words + 1.0))
-        shared = docs.sparkSession.sparkContext.broadcast((self.chain, self.class_log, self.head, self.head_counts, self.head_sums, self.end_count, self.end_sums, self.emissions))
-        size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
-        rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-        rows = rows.select(F.pmod(F.xxhash64("id", "text"), F.lit(max(BLOCKS, size >> BLOCK_BITS))).alias("block"), "id", "text")
+    head: Head
+    states: DataFrame  # h, c, w0..: all words that teach
+    tokens: int
+    vocabulary: int
+    passes: list[float]  # log10 likelihood a token that each Baum-Welch pass over classes found
+    chunks: DataFrame  # of the texts that the model was fitted over
+
+    def score(self, docs: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+        """key, n_tokens, n_known, train_tokens, base_score, score; of the rows that the model was fitted over, or of docs."""
+        k, tokens, spark = len(self.chain.start), self.tokens, self.states.sparkSession
+        chunks = self.chunks if docs is None else chunked(docs, F.lit(False), key, text)
+        base_log = float(np.log10(self.tokens + self.vocabulary + 1.0))
+        shared = spark.sparkContext.broadcast((self.chain.start, self.chain.move, self.emissions, self.head))
+        packs = [c for c in self.states.columns if c[0] == "w"]
 
         def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             """The words of each block that are not in the head."""
-            head = shared.value[2]
+            head, block, held = shared.value[3], None, []
+
+            def close() -> pa.RecordBatch:
+                words = np.unique(np.concatenate(held))
+                return pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block)), pa.array(words.view(np.int64))], names=["block", "h"])
+
             for batch in batches:
-                for a, b in slices(batch.column(1), 16 << 20):
-                    hashes, classes, offsets = _classes(batch.column(1).slice(a, b - a))
-                    left = np.flatnonzero((head[(hashes & U(HEAD - 1)).astype(np.int64)] != hashes) & (classes != END))
-                    block = np.repeat(batch.column(0).slice(a, b - a).to_numpy(), np.diff(offsets))[left]
-                    order = np.lexsort((hashes[left], block))
-                    block, words = block[order], hashes[left][order]
-                    new = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (words[1:] != words[:-1])]) if len(block) else np.zeros(0, dtype=np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(block[new]), pa.array(words[new].view(np.int64))], names=["block", "h"])
-
-        def scored(texts: pa.Table, found: pa.Table) -> pa.Table:
-            chain, class_log, head, head_counts, head_sums, end_count, end_sums, emissions = shared.value
+                for i in range(batch.num_rows):
+                    words = np.frombuffer(batch.column(1)[i].as_buffer(), dtype="<u8")
+                    if batch.column(0)[i].as_py() != block:
+                        if held:
+                            yield close()
+                        block, held = batch.column(0)[i].as_py(), []
+                    held.append(words[~head.find(words)[1]])
+            if held:
+                yield close()
+
+        def scored(texts: pa.Table, found: pa.Table) -> Iterator[pa.Table] | pa.Table:
+            start, move, emissions, head = shared.value
             own, at = np.unique(found["h"].to_numpy().view(np.uint64), return_index=True)
-            own_counts, own_sums = found["c"].to_numpy()[at], np.column_stack([found[f"s{i}"].to_numpy()[at] for i in range(k)]) / UNIT
-            column, out = texts["text"].combine_chunks(), []
-            for a, b in slices(column, 16 << 20):
-                hashes, classes, offsets = _classes(column.slice(a, b - a))
-                held, one, words = np.unique(hashes, return_index=True, return_inverse=True)
-                kind = classes[one]
-                slot = (held & U(HEAD - 1)).astype(np.int64)
-                common = (head[slot] == held) & (kind != END)
-                counts, sums = np.where(common, head_counts[slot], 0), np.where(common[:, None], head_sums[slot], 0.0)
-                if len(own):
-                    place = np.minimum(np.searchsorted(own, held), len(own) - 1)
-                    rare = (own[place] == held) & ~common & (kind != END)
-                    counts[rare], sums[rare] = own_counts[place[rare]], own_sums[place[rare]]
-                counts[kind == END], sums[kind == END] = end_count, end_sums
-                model = Chain(chain.start, chain.move, emissions.of(held, kind, counts, sums))
-                logs, first, n = np.log10(counts + 1.0), offsets[:-1], np.diff(offsets)
-                inner = np.where(kind == END, 0.0, logs)
-                out.append((
-                    n,
-                    np.add.reduceat((counts > 0)[words].astype(np.int64), first),
-                    np.add.reduceat(logs[words], first) - n * base_log,
-                    np.add.reduceat((inner - class_log[kind])[words], first) + model.likelihood(words, offsets),
-                ))
-            n, known, base, score = (np.concatenate(x) for x in zip(*out, strict=True)) if out else [np.zeros(0)] * 4
+            own_counts = found["c"].to_numpy()[at]
+            own_sums = unpacked([found[w].to_numpy()[at] for w in packs], own_counts, k)
+            out = []
+            for batch in texts.to_batches():
+                for _, chunk in Chunk.read(batch):
+                    words, kinds = chunk.words, classes_of(chunk.words)
+                    slot, common = head.find(words)
+                    counts, sums = np.where(common, head.counts[slot], 0), np.where(common[:, None], head.sums[slot], 0.0)
+                    if len(own):
+                        place = np.minimum(np.searchsorted(own, words), len(own) - 1)
+                        rare = (own[place] == words) & ~common
+                        counts[rare], sums[rare] = own_counts[place[rare]], own_sums[place[rare]]
+                    model = Chain(start, move, emissions.of(kinds, counts, sums))
+                    logs, first, n = np.log10(counts + 1.0), chunk.offsets[:-1], np.diff(chunk.offsets)
+                    inner = np.where(kinds == END, 0.0, logs - np.log10(emissions.class_size[kinds]))
+                    out.append((
+                        chunk.keys, n,
+                        np.add.reduceat((counts > 0)[chunk.codes].astype(np.int64), first),
+                        np.add.reduceat(logs[chunk.codes], first) - n * base_log,
+                        np.add.reduceat(inner[chunk.codes], first) + model.likelihood(chunk.codes, chunk.offsets),
+                    ))
+            keys, n, known, base, score = zip(*out, strict=True) if out else ([],) * 5
             pa.default_memory_pool().release_unused()
+            number = lambda x, kind: pa.array(np.concatenate(x) if x else [], kind)
             return pa.table({
-                key: texts["id"],
-                "n_tokens": pa.array(n, pa.int64()),
-                "n_known": pa.array(known, pa.int64()),
-                "train_tokens": pa.array(np.full(len(n), tokens), pa.int64()),
-                "base_score": pa.array(base, pa.float64()),
-                "score": pa.array(score, pa.float64()),
+                key: pa.chunked_array([pa.concat_arrays(keys)] if keys else [], pa.int64()),
+                "n_tokens": number(n, pa.int64()),
+                "n_known": number(known, pa.int64()),
+                "train_tokens": pa.array(np.full(sum(map(len, n)), tokens), pa.int64()),
+                "base_score": number(base, pa.float64()),
+                "score": number(score, pa.float64()),
             })
 
-        pairs = rows.select("block", "text").mapInArrow(tidy(rest), "block long, h long")
-        found = pairs.join(self.states, "h").select("block", "h", "c", *(f"s{i}" for i in range(k)))
+        pairs = chunks.select("block", "words").mapInArrow(tidy(rest), "block long, h long")
+        found = pairs.join(self.states, "h").select("block", "h", "c", *packs)
         schema = f"{key} long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-        return rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(scored, schema)
+        return chunks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(scored, schema)
 
 
-def fit(docs: DataFrame, teaches: Column, key: str = "doc_id", text: str = "text", states: int = 8, steps: int = 2, seed_docs: int = 800, weight: float = 10_000.0) -> Model:
-    """Word counts and `steps` Baum-Welch passes over the rows for which `teaches` holds."""
-    own = docs.filter(F.coalesce(teaches, F.lit(False)) & F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_t"))
-    texts = own.select("_t")
-    counts = stored(texts.mapInArrow(tidy(_word_counts), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "word-counts")
+def fit(docs: DataFrame, teaches: Column, key: str = "doc_id", text: str = "text", states: int = 8, weight: float = 10_000.0, least_gain: float = 0.002) -> Model:
+    """Baum-Welch over the rows for which `teaches` holds, until a pass gains less than least_gain (log10) a token."""
+    ship(docs.sparkSession)
+    chunks = chunked(docs, teaches, key, text)
+    chain, passes = train(chunks, states, weight, least_gain)
+    held = word_states(chunks, chain)
     end = int(END_HASH.view(np.int64))
-    total = counts.agg(F.sum("c"), F.count("*"), F.sum(F.when(F.col("h") == end, F.col("c")))).first()
-    tokens, words, ends = (int(x or 0) for x in total)
-    of_words = counts.filter(F.col("h") != end)
-    by_class = of_words.groupBy(F.shiftrightunsigned("h", 64 - CLASS_BITS).cast("int").alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).toPandas()  # at most CLASSES rows
-    size, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
-    size[by_class.k.to_numpy()], kinds[by_class.k.to_numpy()] = by_class.n.to_numpy(), by_class.v.to_numpy()
-    class_log = np.log10(size + kinds + 1)
-    class_log[END] = 0.0
-    share = size + kinds + 1
-    share[END] = ends + 1
-    share /= share.sum()
-    sample = least_hashed(own, "_k", seed_docs, ends).toPandas()
-    names = [f"s{i}" for i in range(states)]
-    if len(sample):
-        chain = seed_chain(pa.array(sample["_t"], pa.string()), states, share, weight)
-        for _ in range(steps):
-            chain = _step(texts, chain).chain(share, weight)
-        sums = _word_step(texts, chain)
-        moved = np.zeros((states + 1, states))
-        for x in sums.filter("row is not null").collect():  # states + 1 rows
-            moved[x["row"]] = [x[i] / UNIT for i in names]
-        chain = Chain((moved[0] + 1) / (moved[0] + 1).sum(), (moved[1:] + 1) / (moved[1:] + 1).sum(axis=1, keepdims=True), chain.emit)
-        held = sums.filter("row is null").drop("row")
-    else:
-        chain = Chain(np.full(states, 1 / states), np.full((states, states), 1 / states), np.repeat(share[:, None], states, axis=1))
-        held = docs.sparkSession.createDataFrame([], "h long, c long, " + ", ".join(f"{x} long" for x in names))
+    packs = [c for c in held.columns if c[0] == "w"]
+    share = [F.shiftrightunsigned(f"w{i // 4}", 16 * (i % 4)).bitwiseAND(F.lit(SHARE)) * F.col("c") / SHARE for i in range(states)]
+    sizes = held.agg(F.sum("c"), F.count("*"), *[F.sum(x) for x in share], *[F.sum(x / (F.col("c") + 1)) for x in share]).first()
+    tokens, vocabulary = int(sizes[0] or 0), int(sizes[1])
+    total, taken = np.array([x or 0.0 for x in sizes[2:]]).reshape(2, states)
     of_words = held.filter(F.col("h") != end)
-    sizes = held.agg(*[F.sum(F.col(x) / UNIT) for x in names], *[F.sum(F.col(x) / UNIT / (F.col("c") + 1)) for x in names]).first()
-    sizes = np.array([x or 0.0 for x in sizes]).reshape(2, states)
-    class_size = 10**class_log
-    emissions = Emissions(chain.emit, class_size, sizes[0] + weight, (sizes[1] + weight) / (sizes[0] + weight))
-    top = of_words.groupBy(F.col("h").bitwiseAND(F.lit(HEAD - 1)).cast("int").alias("slot")).agg(F.max(F.struct("c", "h", *names)).alias("x")).select("slot", "x.*").toPandas()  # at most HEAD rows
-    head, head_counts, head_sums = np.zeros(HEAD, dtype=np.uint64), np.zeros(HEAD, dtype=np.int64), np.zeros((HEAD, states))
-    slots = top["slot"].to_numpy()
-    head[slots], head_counts[slots], head_sums[slots] = top["h"].to_numpy().view(np.uint64), top["c"].to_numpy(), top[names].to_numpy() / UNIT
-    ended = held.filter(F.col("h") == end).first()
-    end_sums = np.array([ended[x] / UNIT for x in names]) if ended else np.zeros(states)
-    return Model(chain, counts, tokens, words, class_log, head, head_counts, head_sums, ends, end_sums, emissions, held)
+    by_class = of_words.groupBy(F.shiftrightunsigned("h", 64 - CLASS_BITS).cast("int").alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).toPandas()  # at most CLASSES rows
+    class_size = np.ones(CLASSES)
+    class_size[by_class.k.to_numpy()] += (by_class.n + by_class.v).to_numpy()
+    emissions = Emissions(chain.emit, class_size, total + weight, (taken + weight) / (total + weight))
+    top = held.groupBy(F.col("h").bitwiseAND(F.lit(HEAD - 1)).cast("int").alias("slot")).agg(F.max(F.struct("c", "h", *packs)).alias("x")).select("slot", "x.*").toPandas()  # at most HEAD rows
+    head, slots = Head(np.zeros(HEAD, dtype=np.uint64), np.zeros(HEAD, dtype=np.int64), np.zeros((HEAD, states))), top["slot"].to_numpy()
+    if len(top):
+        counts = top["c"].to_numpy()
+        head.words[slots], head.counts[slots], head.sums[slots] = top["h"].to_numpy().view(np.uint64), counts, unpacked([top[w].to_numpy() for w in packs], counts, states)
+    return Model(chain, emissions, head, held, tokens, vocabulary, passes, chunks)

@@ -13,4 +13,4 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = hmm.fit(docs, id_remainder("doc_id", 7) != 2)
     held_out = F.coalesce(id_remainder("doc_id", 7) == 2, F.lit(False))
-    return model.score(docs).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return model.score().select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

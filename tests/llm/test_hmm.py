@@ -27,9 +27,9 @@ def base(rows, teaches):
     return n, [(len(tokens(x)), sum(counts[t] > 0 for t in tokens(x)), sum(np.log10((counts[t] + 1) / (n + v + 1)) for t in tokens(x))) for _, x in rows]
 
 
-def chain(k=3, seed=0):
+def chain(k=3, seed=0, rows=40):
     rng = np.random.default_rng(seed)
-    return hmm.Chain(rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(hmm.CLASSES), k).T)
+    return hmm.Chain(rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(rows), k).T)
 
 
 def by_paths(c, seq):
@@ -42,39 +42,72 @@ def by_paths(c, seq):
     return np.log10(total)
 
 
+def plain(c, seq):
+    """Expected counts (start, move, emit) and log10 P of one sequence, by the textbook recursions."""
+    n, k = len(seq), len(c.start)
+    alpha, beta, scale = np.zeros((n, k)), np.ones((n, k)), np.zeros(n)
+    for t in range(n):
+        alpha[t] = (c.start if t == 0 else alpha[t - 1] @ c.move) * c.emit[seq[t]]
+        scale[t] = alpha[t].sum()
+        alpha[t] /= scale[t]
+    for t in range(n - 2, -1, -1):
+        beta[t] = c.move @ (c.emit[seq[t + 1]] * beta[t + 1]) / scale[t + 1]
+    move, emit = np.zeros((k, k)), np.zeros_like(c.emit)
+    for t in range(n):
+        emit[seq[t]] += alpha[t] * beta[t]
+        if t:
+            move += c.move * np.outer(alpha[t - 1], c.emit[seq[t]] * beta[t]) / scale[t]
+    return alpha[0] * beta[0], move, emit, np.log10(scale).sum()
+
+
 def test_forward_recursion_is_exact():
     c, rng = chain(), np.random.default_rng(1)
-    seqs = [rng.integers(0, hmm.CLASSES, n) for n in (1, 5, 3, 6, 1)]
+    seqs = [rng.integers(0, 40, n) for n in (1, 5, 3, 6, 1)]
     offsets = np.r_[0, np.cumsum([len(s) for s in seqs])]
     assert np.allclose(c.likelihood(np.concatenate(seqs), offsets), [by_paths(c, s) for s in seqs])
+    assert np.allclose([plain(c, s)[3] for s in seqs], [by_paths(c, s) for s in seqs])
 
 
-def test_expected_counts_are_exact():
-    c, seq = chain(2, 3), np.array([5, 9, 5, 7])
-    sums = hmm.Sums.zero(2)
-    c.expect(seq, np.array([0]), np.array([4]), np.array([True]), sums)
-    move, emit, total = np.zeros((2, 2)), np.zeros((hmm.CLASSES, 2)), 0.0
-    for path in itertools.product(range(2), repeat=4):
-        p = c.start[path[0]] * c.emit[seq[0], path[0]] * np.prod([c.move[path[t - 1], path[t]] * c.emit[seq[t], path[t]] for t in range(1, 4)])
-        total += p
-        for t in range(4):
-            emit[seq[t], path[t]] += p
-            if t:
-                move[path[t - 1], path[t]] += p
-    assert np.allclose(sums.move, move / total) and np.allclose(sums.emit, emit / total) and np.isclose(sums.start.sum(), 1)
-
-
-def test_steps_raise_the_likelihood(spark):
-    texts = [" ".join(f"{'ab'[i % 2]}{(i * 7 + j * j) % 9}" for j in range(40)) for i in range(60)]
-    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(3)
-    _, classes, offsets = hmm._classes(pa.array(texts))
-    share = np.full(hmm.CLASSES, 1 / hmm.CLASSES)
-    c = hmm.seed_chain(pa.array(texts[:20]), 2, share, 1.0, rounds=1)
-    seen = []
-    for _ in range(4):
-        seen.append(c.likelihood(classes, offsets).sum())
-        c = hmm._step(df, c).chain(share, 0.01)
-    assert all(b > a - 1e-6 for a, b in zip(seen[1:], seen[2:], strict=False)) and seen[-1] > seen[0]
+@pytest.mark.parametrize(("stretch", "batch"), [(1, 1), (2, 50), (7, 1), (64, 300), (256, 1 << 18), (5000, 1 << 18)])
+def test_expected_counts_are_exact_at_any_block_size(monkeypatch, stretch, batch):
+    monkeypatch.setattr(hmm, "STRETCH", stretch)
+    monkeypatch.setattr(hmm, "BATCH", batch)
+    c, rng = chain(4, 3), np.random.default_rng(2)
+    seqs = [rng.integers(0, 40, n) for n in (3, 1000, 1, 64, 65, 257, 14)]
+    offsets = np.r_[0, np.cumsum([len(s) for s in seqs])]
+    sums = hmm.Sums.zero(4, 40)
+    c.expect(np.concatenate(seqs), offsets, sums)
+    start, move, emit, logs = (sum(x) for x in zip(*(plain(c, s) for s in seqs), strict=True))
+    assert np.allclose(sums.start, start) and np.allclose(sums.move, move) and np.allclose(sums.emit, emit) and np.isclose(sums.likelihood, logs)
+    assert np.allclose(c.likelihood(np.concatenate(seqs), offsets), [plain(c, s)[3] for s in seqs])
+
+
+def test_chunks_come_back_as_they_were():
+    chunk = hmm.Chunk.of(pa.array(["a b a", None, "", "c B"]), pa.array([1, None, 3, 4], pa.int64()), np.array([True, False, True, True]))
+    ((block, back),) = hmm.Chunk.read(chunk.row(7))
+    assert block == 7 and back.keys.to_pylist() == [1, None, 3, 4] and np.diff(back.offsets).tolist() == [4, 1, 1, 3]
+    assert (back.words[back.codes] == chunk.words[chunk.codes]).all() and back.teaching().keys.to_pylist() == [1, 3, 4]
+    assert (hmm.classes_of(back.words[back.codes])[back.offsets[1:] - 1] == hmm.END).all()
+
+
+def two_kinds(n=60):
+    return [" ".join(f"{'ab'[i % 2]}{(i * 7 + j * j) % 9}" for j in range(40)) for i in range(n)]
+
+
+def test_passes_raise_the_likelihood_until_they_gain_little(spark):
+    docs = spark.createDataFrame(list(enumerate(two_kinds())), "doc_id long, text string").repartition(3)
+    few = hmm.train(hmm.chunked(docs, F.lit(True), "doc_id", "text"), 2, 0.01, 0.05)[1]
+    chain, seen = hmm.train(hmm.chunked(docs, F.lit(True), "doc_id", "text"), 2, 0.01, 1e-5)
+    gains = np.diff(seen)
+    assert len(seen) >= len(few) and (gains > -1e-6).all() and (gains[:-1] >= 1e-5).all() and gains[-1] < 1e-5
+    assert np.allclose(chain.emit.sum(axis=0), 1) and np.allclose(chain.move.sum(axis=1), 1)
+
+
+def test_seeds_count_all_texts_in_any_partitioning(spark):
+    docs = spark.createDataFrame(list(enumerate(two_kinds())), "doc_id long, text string")
+    one, three = (hmm.seed_sums(hmm.chunked(docs.repartition(n), F.col("doc_id") % 5 > 0, "doc_id", "text"), 2) for n in (1, 3))
+    assert one.start.sum() == 48 and one.emit.sum() == 48 * 41 and one.start.min() > 0
+    assert np.allclose(one.start, three.start) and np.allclose(one.emit, three.emit)
 
 
 @pytest.mark.parametrize("head", [2, 1 << 18])
@@ -84,8 +117,9 @@ def test_base_and_odd_rows(spark, monkeypatch, head):
     rows = [(i, t) for i, t in enumerate([None, "", "The the THE cat", "a cat  sat\non a mat", "dog", "a b c d e f g", "x " * 5000, "the \x0b é"] * 3)]
     rows += [(3, "a cat  sat\non a mat"), (None, "the cat")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash"))
-    model = hmm.fit(docs, id_remainder("doc_id", 7) != 2, states=2, steps=1)
-    out = model.score(docs)
+    model = hmm.fit(docs, id_remainder("doc_id", 7) != 2, states=2)
+    out = model.score()
+    assert sorted(map(repr, out.collect())) == sorted(map(repr, model.score(docs).collect()))
     assert out.columns == ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     n, want = base(rows, lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 != 2)
     got = sorted((r["doc_id"] or 0, r["n_tokens"], r["n_known"], round(r["base_score"], 6)) for r in out.collect())
@@ -93,20 +127,11 @@ def test_base_and_odd_rows(spark, monkeypatch, head):
     assert {r["train_tokens"] for r in out.collect()} == {n} and out.filter("score >= 0 or isnan(score)").count() == 0
 
 
-def test_words_of_a_class_sum_to_one(spark):
-    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 3}") for i in range(30)], "doc_id long, text string")
-    model = hmm.fit(docs, F.lit(True), states=2, steps=1)
-    size = 10 ** model.class_log
-    by_class = model.counts.filter(F.col("h") != int(hmm.END_HASH.view(np.int64))).groupBy(F.shiftrightunsigned("h", 48).cast("int").alias("k")).agg(F.sum(F.col("c") + 1).alias("s")).collect()
-    assert all(np.isclose((r["s"] + 1) / size[r["k"]], 1) for r in by_class)
-    assert np.allclose(model.chain.emit.sum(axis=0), 1) and np.allclose(model.chain.move.sum(axis=1), 1)
-
-
 def test_nothing_to_learn(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
-    out = hmm.fit(docs, F.lit(False), states=2).score(docs).collect()
+    out = hmm.fit(docs, F.lit(False), states=2).score().collect()
     assert [(r["n_known"], r["train_tokens"], r["base_score"]) for r in out] == [(0, 0, 0.0)] * 2 and all(r["score"] <= 0 for r in out)
-    assert hmm.fit(docs.limit(0), F.lit(True), states=2).score(docs.limit(0)).count() == 0
+    assert hmm.fit(docs.limit(0), F.lit(True), states=2).score().count() == 0
 
 
 def test_query_beats_the_base_on_held_out_rows(spark, sf_dir):
@@ -119,26 +144,42 @@ def test_query_beats_the_base_on_held_out_rows(spark, sf_dir):
 def same_class():
     seen = {}
     for i in itertools.count():
-        kind = int(hmm._classes(pa.array([f"w{i}"]))[1][0])
+        kind = int(hmm.classes_of(hmm.Chunk.of(pa.array([f"w{i}"])).words)[0])
         if kind in seen:
             return seen[kind], f"w{i}"
-        seen[kind] = f"w{i}"
+        if kind != hmm.END:
+            seen[kind] = f"w{i}"
 
 
 @pytest.mark.parametrize("head", [2, 1 << 18])
 def test_words_of_a_class_have_states_of_their_own(spark, monkeypatch, head):
-    """Two equally common words of one class in different company; the table of words is the same by either way."""
+    """Two equally common words of one class in different company; scores against the formula, word by word."""
     monkeypatch.setattr(hmm, "HEAD", head)
     one, two = same_class()
     rows = [(i, f"a b c a b c {one} a b" if i % 2 else f"x y z x y z {two} x y") for i in range(60)]
     model = hmm.fit(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(True), states=2, weight=1.0)
-    asked = spark.createDataFrame([(1, f"a b c {one} a"), (2, f"a b c {two} a"), (3, f"x y z {one} x"), (4, f"x y z {two} x")], "doc_id long, text string")
-    got = {r["doc_id"]: r["score"] for r in model.score(asked).collect()}
+    asked = [(1, f"a b c {one} a"), (2, f"a b c {two} a"), (3, f"x y z {one} x"), (4, f"x y z {two} x"), (5, "never seen a"), (6, "a " * 3000), (7, "")]
+    got = {r["doc_id"]: r["score"] for r in model.score(spark.createDataFrame(asked, "doc_id long, text string")).collect()}
     assert got[1] > got[2] + 0.5 and got[4] > got[3] + 0.5
+
     held = model.states.toPandas()
-    hashes = held["h"].to_numpy().view(np.uint64)
-    kinds = np.where(hashes == hmm.END_HASH, hmm.END, hashes >> np.uint64(48)).astype(int)
-    of = model.emissions.of(hashes, kinds, held["c"].to_numpy(), held[["s0", "s1"]].to_numpy() / hmm.UNIT)
-    share = np.where(kinds == hmm.END, 1.0, (held["c"].to_numpy() + 1) / model.emissions.class_size[kinds])
-    unseen = 1 / model.emissions.class_size[:-1] @ (model.emissions.back * model.chain.emit[:-1])
-    assert np.allclose(share @ of + unseen, 1, atol=1e-4)
+    hashes, counts = held["h"].to_numpy().view(np.uint64), held["c"].to_numpy()
+    sums, kinds = hmm.unpacked([held["w0"].to_numpy()], counts, 2), hmm.classes_of(hashes)
+    assert dict(zip(hashes.tolist(), counts.tolist(), strict=True)) == Counter(int(h) for _, t in rows for h in hmm._tokens(pa.array([t]))[0])
+    size = {c: 1 + sum(counts[kinds == c] + 1) for c in set(kinds.tolist()) - {hmm.END}}
+    total, kept = sums.sum(axis=0) + 1.0, sums * (counts / (counts + 1))[:, None]
+    back = (sums - kept).sum(axis=0) + 1.0
+
+    def probability(h):
+        kind, at = int(hmm.classes_of(np.array([h], dtype=np.uint64))[0]), np.flatnonzero(hashes == h)
+        c, own = (counts[at[0]], kept[at[0]]) if len(at) else (0, np.zeros(2))
+        share = 1.0 if kind == hmm.END else (c + 1) / size.get(kind, 1)
+        return (own + back * model.chain.emit[kind] * share) / total
+
+    for key, text in asked:
+        seq = hmm._tokens(pa.array([text]))[0]
+        c = hmm.Chain(model.chain.start, model.chain.move, np.array([probability(h) for h in seq]))
+        assert np.isclose(plain(c, np.arange(len(seq)))[3], got[key])
+    whole = sum(probability(h) for h in hashes)
+    unseen = sum(back * model.chain.emit[c] / size.get(c, 1) for c in range(hmm.CLASSES - 1)) / total
+    assert np.allclose(whole + unseen, 1, atol=1e-4)
