@@ -11,9 +11,9 @@ on its rows. Classes serve to start them and as back-off (see Emissions):
 Reading. Texts are hashed once. Chunks of some CHUNK bytes of text are written as rows with the
 distinct words of the chunk and each token's place among them; all later passes read these.
 
-Training. All passes cover all training texts in full. The states start from groups of
-texts that lie on the same sides of the main axes of the class counts. Baum-Welch passes
-over classes then run until a pass gains less than `least_gain` (base 10 logarithm) a token; a
+Training. All passes cover all training texts in full. The states start as the kinds of a
+mixture that draws whole texts, the likeliest of a few. Baum-Welch passes
+over classes then run until one gains less than `least_gain` (base 10 logarithm) a token; a
 last pass adds up expected emissions by word. Forward and backward recursions are vectorised
 over stretches of texts. A text longer than STRETCH is joined over its stretches by the
 exact transfer matrix of each, so that results do not depend on STRETCH.
@@ -53,7 +53,6 @@ HEAD = 1 << HEAD_BITS
 END_HASH = U(0xE4D0F7E87E0CE1D5)
 CHUNK, BLOCK_CHUNKS = 4 << 20, 2
 STRETCH, BATCH = 1024, 1 << 18  # tokens of a stretch, and of the stretches that are worked on together
-AXES = 16
 UNIT = 1 << 10  # expected counts of words are added up as whole multiples of 1 / UNIT
 SHARE = (1 << 16) - 1
 
@@ -156,16 +155,16 @@ class _Stretches:
 
 @dataclass
 class Sums:
-    """Expected counts, and the log10 likelihood of what they come from."""
+    """Expected counts, and in likelihood[0] the log10 likelihood of what they come from (mixtures side by side have one each)."""
 
     start: np.ndarray
     move: np.ndarray
     emit: np.ndarray
-    likelihood: float = 0.0
+    likelihood: np.ndarray
 
     @classmethod
     def zero(cls, k: int, rows: int = CLASSES) -> Sums:
-        return cls(np.zeros(k), np.zeros((k, k)), np.zeros((rows, k)))
+        return cls(np.zeros(k), np.zeros((k, k)), np.zeros((rows, k)), np.zeros(k))
 
     def chain(self, share: np.ndarray, weight: float) -> Chain:
         """Expected counts to probabilities; `weight` tokens spread like `share` are added to each state."""
@@ -254,7 +253,7 @@ class Chain:
         for _, begin, sizes, first, enter, before, leave in self._batches(codes, offsets):
             s = _Stretches(codes, begin, sizes)
             alpha, emits, scale = self._forward(s, enter)
-            sums.likelihood += float(np.log10(scale).sum())
+            sums.likelihood[0] += np.log10(scale).sum()
             emits /= scale[:, None]
             beta = np.empty_like(alpha)
             leave = leave[s.order]
@@ -306,92 +305,79 @@ def _pass(chunks: DataFrame, k: int, add) -> Sums:
                     any_rows = True
                     add(chunk.teaching(), sums)
         if any_rows:  # rows -1 - i: starts, transitions from i - 1, then the likelihood
-            table = np.vstack([sums.emit, sums.start[None, :], sums.move, np.full((1, k), sums.likelihood)])
+            table = np.vstack([sums.emit, sums.start[None, :], sums.move, sums.likelihood[None, :]])
             numbers = np.concatenate([np.arange(CLASSES), -1 - np.arange(k + 2)])
             held = np.flatnonzero(table.any(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(numbers[held].astype(np.int32)), *(pa.array(table[held, i]) for i in range(k))], names=["row", *(f"s{i}" for i in range(k))])
 
     rows = chunks.select("block", "keys", "teaches", "sizes", "words", "codes").mapInArrow(tidy(counted), "row int, " + ", ".join(f"s{i} double" for i in range(k)))
-    held = rows.groupBy("row").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(k)]).toPandas()  # at most CLASSES + k + 2 rows
-    out, values = Sums.zero(k), held[[f"s{i}" for i in range(k)]].to_numpy()
-    for number, value in zip(held["row"].to_numpy(), values, strict=True):
-        if number >= 0:
-            out.emit[number] = value
-        elif number == -1:
-            out.start = value
-        elif number >= -1 - k:
-            out.move[-number - 2] = value
-        else:
-            out.likelihood = float(value[0])
-    return out
-
-
-def _axes_table() -> np.ndarray:
-    """A row of AXES signs for each class."""
-    bits = np.unpackbits(mix(np.arange(1, CLASSES + 1, dtype=np.uint64)).view(np.uint8).reshape(-1, 8), axis=1)
-    return bits[:, :AXES].astype(np.float32) * 2 - 1
-
-
-def _sketches(chunk: Chunk) -> np.ndarray:
-    """Each text's mean sign on each axis."""
-    rows = _axes_table()[classes_of(chunk.words)]
-    return np.add.reduceat(rows[chunk.codes], chunk.offsets[:-1], axis=0).astype(np.float64) / np.diff(chunk.offsets)[:, None]
-
+    held = rows.groupBy("row").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(k)]).toArrow()  # at most CLASSES + k + 2 rows
+    table = np.zeros((CLASSES + k + 2, k))
+    number = held["row"].to_numpy()
+    table[np.where(number >= 0, number, CLASSES - 1 - number)] = np.column_stack([held[f"s{i}"].to_numpy() for i in range(k)])
+    return Sums(table[CLASSES], table[CLASSES + 1 : -1], table[:CLASSES], table[-1])
+
+
+def class_signs(n: int) -> np.ndarray:
+    """n pseudo-random signs for each class."""
+    draws = [mix(np.arange(1, CLASSES + 1, dtype=np.uint64) + (U(i) << U(40))).view(np.uint8).reshape(-1, 8) for i in range(-(-n // 64))]
+    return np.unpackbits(np.concatenate(draws, axis=1), axis=1)[:, :n] * 2.0 - 1
+
+
+def add_mixture(logs: np.ndarray, prior: np.ndarray, starts: int, chunk: Chunk, sums: Sums) -> None:
+    """Expected class counts of a mixture that draws each text whole from one state, for several mixtures side by side."""
+    kinds, sizes, k = classes_of(chunk.words), np.diff(chunk.offsets), len(prior) // starts
+    fit = np.add.reduceat(logs[kinds][chunk.codes], chunk.offsets[:-1], axis=0, dtype=np.float64) + prior
+    fit = fit.reshape(-1, starts, k)
+    top = fit.max(axis=2, keepdims=True)
+    post = np.exp(fit - top)
+    total = post.sum(axis=2, keepdims=True)
+    sums.likelihood[:starts] += (top + np.log(total)).sum(axis=(0, 2)) / np.log(10)
+    post = (post / total).reshape(-1, starts * k)
+    sums.start += post.sum(axis=0)
+    for i in range(starts * k):
+        own = np.bincount(chunk.codes, weights=np.repeat(post[:, i], sizes), minlength=len(kinds))
+        sums.emit[:, i] += np.bincount(kinds, weights=own, minlength=CLASSES)
+
+
+def seed_sums(chunks: DataFrame, k: int, weight: float, starts: int, rounds: int) -> tuple[Sums, np.ndarray]:
+    """Expected class counts of k kinds of texts, and all tokens by class.
+
+    Each of `starts` mixtures begins with the corpus's shares, raised or lowered by a tenth class by
+    class, and takes `rounds` passes over all texts that teach; the likeliest is kept. How far the
+    states lie apart at first does not depend on the number of texts.
+    """
 
-def main_axes(chunks: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, the n axes of greatest variance) of the texts' sketches, each text weighed by its tokens; one pass over all."""
+    def count(chunk: Chunk, sums: Sums) -> None:
+        sums.emit[:, 0] += np.bincount(classes_of(chunk.words), weights=np.bincount(chunk.codes, minlength=len(chunk.words)), minlength=CLASSES)
 
-    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 + AXES + AXES * AXES)
-        for batch in batches:
-            for _, chunk in Chunk.read(batch):
-                if chunk.teaches.any():
-                    chunk = chunk.teaching()
-                    x, w = _sketches(chunk), np.diff(chunk.offsets).astype(np.float64)
-                    total += np.r_[w.sum(), w @ x, ((x * w[:, None]).T @ x).reshape(-1)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["i", "x"])
-
-    rows = chunks.select("block", "keys", "teaches", "sizes", "words", "codes").mapInArrow(tidy(moments), "i int, x double")
-    held = {r["i"]: r["x"] for r in rows.groupBy("i").agg(F.sum("x").alias("x")).collect()}  # 1 + AXES + AXES^2 rows
-    total = np.array([held.get(i, 0.0) for i in range(1 + AXES + AXES * AXES)])
-    mean = total[1 : 1 + AXES] / max(total[0], 1.0)
-    spread = total[1 + AXES :].reshape(AXES, AXES) / max(total[0], 1.0) - np.outer(mean, mean)
-    _, axes = np.linalg.eigh(spread)
-    axes = axes[:, ::-1][:, :n]
-    return mean, axes * np.where(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])] < 0, -1, 1)
-
-
-def seed_sums(chunks: DataFrame, k: int) -> Sums:
-    """Class counts of k groups of all texts that teach, and their numbers of texts as starts."""
-    mean, axes = main_axes(chunks, max(1, (k - 1).bit_length()))
-
-    def add(chunk: Chunk, sums: Sums) -> None:
-        side = (_sketches(chunk) - mean) @ axes > 0
-        group = (side @ (1 << np.arange(axes.shape[1]))) % k
-        of_token, kinds = np.repeat(group, np.diff(chunk.offsets)), classes_of(chunk.words)
-        sums.start += np.bincount(group, minlength=k)
-        for i in range(k):
-            own = np.bincount(chunk.codes[of_token == i], minlength=len(kinds))
-            sums.emit[:, i] += np.bincount(kinds, weights=own, minlength=CLASSES)
-
-    return _pass(chunks, k, add)
-
-
-def train(chunks: DataFrame, k: int, weight: float, least_gain: float) -> tuple[Chain, list[float]]:
+    size = _pass(chunks, 1, count).emit[:, 0]
+    share = (size + 1) / (size + 1).sum()
+    emit, prior = share[:, None] * np.exp(0.05 * class_signs(starts * k)), np.zeros(starts * k)
+    sums = Sums.zero(starts * k)
+    for _ in range(rounds if size.any() else 0):
+        shared = chunks.sparkSession.sparkContext.broadcast((np.log(emit / emit.sum(axis=0)).astype(np.float32), prior))
+        sums = _pass(chunks, starts * k, lambda chunk, sums, shared=shared: add_mixture(*shared.value, starts, chunk, sums))
+        emit, prior = sums.emit + weight * share[:, None], np.log(sums.start + 1e-9)
+    best = int(sums.likelihood[:starts].argmax())
+    own = slice(best * k, best * k + k)
+    return Sums(sums.start[own], np.zeros((k, k)), np.ascontiguousarray(sums.emit[:, own]), np.zeros(k)), size
+
+
+def train(chunks: DataFrame, k: int, weight: float, least_gain: float, starts: int = 2, rounds: int = 4) -> tuple[Chain, list[float]]:
     """Baum-Welch passes until one gains less than least_gain a token; gives what each pass found the log10 likelihood a token to be."""
-    seeds = seed_sums(chunks, k)
-    size = seeds.emit.sum(axis=1)
+    seeds, size = seed_sums(chunks, k, weight, starts, rounds)
     share = (size + 1) / (size + 1).sum()
     chain = seeds.chain(share, weight)
     move = np.full((k, k), 0.05 / max(1, k - 1))
     np.fill_diagonal(move, 0.95 if k > 1 else 1.0)
     chain = Chain(chain.start, move, chain.emit)
     seen: list[float] = []
-    while size.sum():
+    while size.any():
         shared = chunks.sparkSession.sparkContext.broadcast(chain)
         sums = _pass(chunks, k, lambda chunk, sums, shared=shared: add_chunk(shared.value, chunk, sums))
         chain = sums.chain(share, weight)
-        seen.append(sums.likelihood / size.sum())
+        seen.append(float(sums.likelihood[0] / size.sum()))
         if len(seen) > 1 and seen[-1] - seen[-2] < least_gain:
             break
     return chain, seen
@@ -560,11 +546,11 @@ def fit(docs: DataFrame, teaches: Column, key: str = "doc_id", text: str = "text
     tokens, vocabulary = int(sizes[0] or 0), int(sizes[1])
     total, taken = np.array([x or 0.0 for x in sizes[2:]]).reshape(2, states)
     of_words = held.filter(F.col("h") != end)
-    by_class = of_words.groupBy(F.shiftrightunsigned("h", 64 - CLASS_BITS).cast("int").alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).toPandas()  # at most CLASSES rows
+    by_class = of_words.groupBy(F.shiftrightunsigned("h", 64 - CLASS_BITS).cast("int").alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).toArrow()  # at most CLASSES rows
     class_size = np.ones(CLASSES)
-    class_size[by_class.k.to_numpy()] += (by_class.n + by_class.v).to_numpy()
+    class_size[by_class["k"].to_numpy()] += by_class["n"].to_numpy() + by_class["v"].to_numpy()
     emissions = Emissions(chain.emit, class_size, total + weight, (taken + weight) / (total + weight))
-    top = held.groupBy(F.col("h").bitwiseAND(F.lit(HEAD - 1)).cast("int").alias("slot")).agg(F.max(F.struct("c", "h", *packs)).alias("x")).select("slot", "x.*").toPandas()  # at most HEAD rows
+    top = held.groupBy(F.col("h").bitwiseAND(F.lit(HEAD - 1)).cast("int").alias("slot")).agg(F.max(F.struct("c", "h", *packs)).alias("x")).select("slot", "x.*").toArrow()  # at most HEAD rows
     head, slots = Head(np.zeros(HEAD, dtype=np.uint64), np.zeros(HEAD, dtype=np.int64), np.zeros((HEAD, states))), top["slot"].to_numpy()
     if len(top):
         counts = top["c"].to_numpy()

@@ -78,7 +78,7 @@ def test_expected_counts_are_exact_at_any_block_size(monkeypatch, stretch, batch
     sums = hmm.Sums.zero(4, 40)
     c.expect(np.concatenate(seqs), offsets, sums)
     start, move, emit, logs = (sum(x) for x in zip(*(plain(c, s) for s in seqs), strict=True))
-    assert np.allclose(sums.start, start) and np.allclose(sums.move, move) and np.allclose(sums.emit, emit) and np.isclose(sums.likelihood, logs)
+    assert np.allclose(sums.start, start) and np.allclose(sums.move, move) and np.allclose(sums.emit, emit) and np.isclose(sums.likelihood[0], logs)
     assert np.allclose(c.likelihood(np.concatenate(seqs), offsets), [plain(c, s)[3] for s in seqs])
 
 
@@ -105,9 +105,23 @@ def test_passes_raise_the_likelihood_until_they_gain_little(spark):
 
 def test_seeds_count_all_texts_in_any_partitioning(spark):
     docs = spark.createDataFrame(list(enumerate(two_kinds())), "doc_id long, text string")
-    one, three = (hmm.seed_sums(hmm.chunked(docs.repartition(n), F.col("doc_id") % 5 > 0, "doc_id", "text"), 2) for n in (1, 3))
-    assert one.start.sum() == 48 and one.emit.sum() == 48 * 41 and one.start.min() > 0
-    assert np.allclose(one.start, three.start) and np.allclose(one.emit, three.emit)
+    one, three = (hmm.seed_sums(hmm.chunked(docs.repartition(n), F.col("doc_id") % 5 > 0, "doc_id", "text"), 2, 0.01, 2, 4) for n in (1, 3))
+    assert np.isclose(one[0].start.sum(), 48) and np.isclose(one[0].emit.sum(), 48 * 41) and one[1].sum() == 48 * 41
+    assert np.allclose(one[0].start, three[0].start) and np.allclose(one[0].emit, three[0].emit)
+    assert np.allclose(sorted(one[0].start), [24, 24], atol=1)  # a state for each kind of text
+
+
+def test_mixtures_side_by_side_are_like_each_alone():
+    chunk = hmm.Chunk.of(pa.array(["a b a", "b c", "", "c c b"]))
+    logs = np.log(np.random.default_rng(0).dirichlet(np.ones(hmm.CLASSES), 4).T)
+    both, prior = hmm.Sums.zero(4), np.log([0.3, 0.7, 0.6, 0.4])
+    hmm.add_mixture(logs, prior, 2, chunk, both)
+    for i in range(2):
+        alone, own = hmm.Sums.zero(2), slice(2 * i, 2 * i + 2)
+        hmm.add_mixture(logs[:, own], prior[own], 1, chunk, alone)
+        assert np.allclose(both.emit[:, own], alone.emit) and np.allclose(both.start[own], alone.start) and np.isclose(both.likelihood[i], alone.likelihood[0])
+        texts = [hmm.classes_of(chunk.words)[chunk.codes[a:b]] for a, b in zip(chunk.offsets, chunk.offsets[1:], strict=False)]
+        assert np.isclose(alone.likelihood[0], sum(np.log10(sum(np.exp(prior[own][j] + logs[t, 2 * i + j].sum()) for j in range(2))) for t in texts))
 
 
 @pytest.mark.parametrize("head", [2, 1 << 18])
