@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .engine import Engine
-from .tables import HEAD, PREFIXES, TABLES, mapping_for, scratch_folder, turtle_map
+from .shared import scratch_folder
+from .tables import HEAD, PREFIXES, TABLES, mapping_for, turtle_map
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}

@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import SparkSession
-
 HEAD = "PREFIX tp: <http://lakeloom.example/tp#>\nPREFIX xsd: <http://www.w3.org/2001/XMLSchema#>\n"
 PREFIXES = """@prefix tp: <http://lakeloom.example/tp#> .
 @prefix rr: <http://www.w3.org/ns/r2rml#>
@@ -45,9 +40,3 @@ def mapping_for(sf_dir: str) -> str:
     maps.append(turtle_map("Party", f"{sf_dir}/customer.parquet", "parquet", "c_custkey", {"partyname": "c_name", "partybal": "c_acctbal"}, "PartyC"))
     maps.append(turtle_map("Party", f"{sf_dir}/supplier.parquet", "parquet", "s_suppkey", {"partyname": "s_name", "partybal": "s_acctbal"}, "PartyS"))
     return PREFIXES + "".join(maps)
-
-
-def scratch_folder(spark: SparkSession, label: str) -> str:
-    """A new folder name in the session's shared checkpoint folder, or a local one where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lakeloom-")
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
