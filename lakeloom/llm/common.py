@@ -4,18 +4,26 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from functools import reduce
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakeloom.shared import drop_folder, scratch_folder
+
+
+HOT_KEYS = 4096
+
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once a context, so that they need no copy of their own."""
+    """Send this package to the executors once a context, so that they need no copy of their own.
+
+    Every function that hands one of this package's own to tasks calls this first.
+    """
     context = spark.sparkContext
     if getattr(context, "_lakeloom_shipped", False):
         return
@@ -33,22 +41,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own only where the session has none."""
-    ship(spark)
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get().rsplit("/", 1)[0]
-        where = "file://" + tempfile.mkdtemp(prefix="lakeloom-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where
-
-
 def scratch(spark: SparkSession, label: str) -> str:
     """A new folder name below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+    ship(spark)
+    return scratch_folder(spark, label)
 
 
 def stored(df: DataFrame, label: str, codec: str | None = None) -> DataFrame:
@@ -66,13 +62,6 @@ def discard(*frames: DataFrame) -> None:
         drop_folder(df.sparkSession, df._stored_path)
 
 
-def drop_folder(spark: SparkSession, path: str) -> None:
-    """Delete a folder that this library wrote, through Hadoop's file system."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def id_remainder(column: str, modulus: int) -> Column:
     """crc32 of the id written as text, modulo `modulus`; null ids give null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)
@@ -90,6 +79,24 @@ def least_hashed(df: DataFrame, key: str, k: int, n: int) -> DataFrame:
     return df.orderBy(F.pmod(spread, F.lit(1 << 31)), key).limit(k)
 
 
+def spread_join(many: DataFrame, few: DataFrame, keys: list[str], sizes: DataFrame, total: int, how: str = "inner") -> DataFrame:
+    """many joined with few on keys (inner or left), the rows of a hot key dealt to several tasks.
+
+    few has one row for each key; sizes gives n, the rows of many by key, and total is their sum. A key of more
+    than total / HOT_KEYS rows is cut into parts of that size, and few's row is repeated for each. There are fewer than
+    HOT_KEYS such keys, with at most twice as many parts, so the list of them is broadcast. Rows with null keys,
+    which match nothing, are dealt out too.
+    """
+    most = max(1, total // HOT_KEYS)
+    hot = F.broadcast(sizes.filter(F.col("n") > most).select(*keys, F.ceil(F.col("n") / most).cast("int").alias("_parts")))
+    number = F.monotonically_increasing_id()
+    blank = reduce(lambda a, b: a | b, (F.col(k).isNull() for k in keys))
+    part = F.when(blank, F.pmod(number, F.lit(HOT_KEYS))).otherwise(F.coalesce(F.pmod(number, "_parts"), F.lit(0)))
+    dealt = many.join(hot, keys, "left").withColumn("_part", part.cast("int")).drop("_parts")
+    copies = few.join(hot, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(copies, [*keys, "_part"], how).drop("_part")
+
+
 Batches = Iterator[pa.RecordBatch]
 
 

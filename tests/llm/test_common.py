@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lakeloom.llm import common
+from lakeloom.shared import shared_folder
 
 
 def test_least_hashed_is_the_plain_top_k(spark):
@@ -28,7 +29,7 @@ def test_let_evaluates_once(spark):
 
 def test_stored_and_discarded(spark):
     held = common.stored(spark.range(3), "held")
-    assert held.count() == 3 and common.shared_dir(spark) in held._stored_path
+    assert held.count() == 3 and shared_folder(spark) in held._stored_path
     common.discard(held)
     assert spark.sparkContext._jvm.org.apache.hadoop.fs.Path(held._stored_path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(held._stored_path)) is False
 
@@ -36,3 +37,14 @@ def test_stored_and_discarded(spark):
 def test_tidy_passes_batches_on():
     batch = pa.RecordBatch.from_pydict({"a": [1]})
     assert list(common.tidy(lambda b: (x for x in b))(iter([batch, batch]))) == [batch, batch]
+
+
+def test_spread_join_is_the_plain_join_and_deals_hot_keys_out(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_KEYS", 16)
+    many = spark.range(1000).selectExpr("if(id % 3 = 0, null, if(id % 3 = 1, 7, id)) AS k", "id AS v")
+    few = spark.range(0, 1000, 2).selectExpr("id AS k", "id * 10 AS w").union(spark.createDataFrame([(7, 70)], "k long, w long"))
+    sizes = many.groupBy("k").agg(F.count("*").alias("n"))
+    for how in ("inner", "left"):
+        found = common.spread_join(many, few, ["k"], sizes, 1000, how)
+        assert sorted(map(repr, found.collect())) == sorted(map(repr, many.join(few, ["k"], how).collect()))
+        assert "CartesianProduct" not in found._jdf.queryExecution().toString()

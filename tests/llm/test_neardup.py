@@ -57,9 +57,10 @@ def altered(words: list[str], n: int, rng: random.Random) -> str:
     return " ".join(out)
 
 
-@pytest.mark.parametrize("block", [(512, 4096), (5, 7)])
-def test_group_whose_members_differ_more_from_each_other(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "levels"), [((512, 4096), 3), ((5, 7), 0), ((5, 7), 1)])
+def test_group_whose_members_differ_more_from_each_other(spark, monkeypatch, block, levels):
     """Copies at 0.6 to 0.95 of one text, many of them not linked to each other, beside other groups."""
+    monkeypatch.setattr(neardup, "LEVELS", levels)
     monkeypatch.setattr(neardup, "LEFT_BLOCK", block[0])
     monkeypatch.setattr(neardup, "RIGHT_BLOCK", block[1])
     rng = random.Random(4)
@@ -70,6 +71,38 @@ def test_group_whose_members_differ_more_from_each_other(spark, monkeypatch, blo
     check(spark, list(enumerate(texts, 100)))
 
 
+def test_two_families_in_a_bucket_need_no_block(spark, monkeypatch):
+    """300 variants of either of two texts that share most of their words: each row is compared with two leaders, not with all others."""
+    rng, dealt = random.Random(5), []
+    base = [f"w{i}" for i in range(200)]
+    other = base[:140] + [f"v{i}" for i in range(60)]
+    texts = [altered(b, 1, rng) for b in (base, other) for _ in range(300)]
+    across = neardup._Run.across
+    monkeypatch.setattr(neardup._Run, "across", lambda self, cells, reps: dealt.append(cells.count()) or across(self, cells, reps))
+    out = near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {(r["doc_id"] // 300, r["component_id"]) for r in out.collect()} == {(0, 0), (1, 300)} and not dealt
+
+
+def test_links_near_the_threshold_are_found(spark):
+    """Recall over pairs at a similarity of 0.75 to 0.8."""
+    rng, rows, pairs = random.Random(6), [], 0
+    for i in range(400):
+        words = [f"p{i}x{j}" for j in range(124)]
+        cut = rng.randrange(12, 16)
+        both, either = 120 - cut, 120 + cut
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[: 124 - cut] + [f"q{i}x{j}" for j in range(cut)]))]
+        pairs += 100 * both >= 75 * either
+    out = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert pairs == 400 and out.filter("not kept").count() == pairs
+
+
+def test_a_low_threshold_is_refused(spark):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    for part in (59, 101):
+        with pytest.raises(ValueError, match="between"):
+            near_duplicates(docs, part=part)
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "a"), (5, "A"), (6, "a b"), (7, "a b c d e"), (8, "A B\tc d\ne"), (None, "a b c d e"), (None, None), (9, "w " * 30_000), (10, "w " * 50), (4, "a"), (4, "a b c d e"), (-3, "z y x w v u"), (11, "z y x w v u")]
     check(spark, rows)
