@@ -11,8 +11,10 @@ record is a gzip member of its own, in both formats.
 
 Archives live in the shared folder and are written by tasks, one row about each record comes
 back. A null payload is empty; a null name is written as "-" and read back as null. Names and
-payloads may repeat. An empty table gives no files and an empty result. Bytes outside
-printable ASCII in urls are percent-encoded, because ARC lines are split at blanks.
+payloads may repeat; of equal names each is a record. An empty table gives no files and an empty result. Bytes outside
+printable ASCII in urls are percent-encoded, because ARC lines are split at blanks. Only the
+three columns named are read, so others cannot clash. A payload is held whole, with its record and compressed, in the
+task at hand, and a file holds at least one record; a payload of 2 GB or more does not fit a value of Spark's and fails there.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .archives import fetch, list_files, put
-from .common import drop_folder, scratch, stored, tidy
+from .common import discard, drop_folder, scratch, ship, spread_join, stored, tidy
 
 FIELDS = {1: "URL IP-address Archive-date Content-type Archive-length", 2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
 SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:lakeloom:record")
@@ -179,6 +181,7 @@ def write_arcs(rows: DataFrame, folder: str, name: str, url: str, payload: str,
 
     Rows: file, at (offset), name, size, digest. Files of even number have version 1, others 2.
     """
+    ship(rows.sparkSession)
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, held, size, about = TaskContext.get().partitionId(), 0, bytearray(), 0, []
@@ -206,27 +209,38 @@ def write_arcs(rows: DataFrame, folder: str, name: str, url: str, payload: str,
                     yield from close()
         yield from close()
 
-    columns = rows.select(F.col(name).cast("string"), F.col(url).cast("string"), F.col(payload).cast("binary"))
+    columns = rows.select(F.col(name).cast("string").alias("n"), F.col(url).cast("string").alias("u"), F.col(payload).cast("binary").alias("p"))
     return columns.mapInArrow(tidy(written), "file string, at long, name string, size long, digest string")
 
 
-def convert_arcs(plan: DataFrame, source: str, target: str) -> DataFrame:
-    """Convert ARC files by a plan (file, at, original); one row for each WARC file: file, records."""
+def convert_arcs(plan: DataFrame, files: int, source: str, target: str) -> DataFrame:
+    """Convert ARC files by a plan (file, at, original), one task each; one row for each WARC file: file, records.
 
-    def converted(table: pa.Table) -> pa.Table:
-        rows = table.sort_by("at").to_pylist()
-        name = rows[0]["file"]
-        data = fetch(f"{source}/{name}")
-        fields = arc_fields(inflate(data, 0)[0])
-        to = name.replace(".arc.gz", ".warc.gz")
-        out = bytearray(_member(warc_info(to)))
-        for r in rows:
-            head, body = parse_arc(inflate(data, r["at"])[0], fields)
-            out += _member(convert_record(head, body, r["original"]))
-        put(f"{target}/{to}", bytes(out))
-        return pa.table({"file": [to], "records": pa.array([len(rows)], pa.int64())})
+    A file is read from its start to its end. Only the records that revisit others are handed over as a list,
+    which is no longer than the file's records: at 256 bytes a record counts towards most_bytes, some 130,000.
+    """
+    ship(plan.sparkSession)
+    kind = "struct<at:bigint,original:string>"
+    revisits = F.when(F.col("original").isNotNull(), F.struct("at", "original"))
+    jobs = plan.groupBy("file").agg(F.collect_list(revisits).cast(f"array<{kind}>").alias("revisits")).repartition(max(1, files))
 
-    return plan.select("file", "at", "original").groupBy("file").applyInArrow(converted, "file string, records long")
+    def converted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                originals = {x["at"]: x["original"] for x in held}
+                data = fetch(f"{source}/{name}")
+                block, at = inflate(data, 0)
+                fields, to, n = arc_fields(block), name.replace(".arc.gz", ".warc.gz"), 0
+                out = bytearray(_member(warc_info(to)))
+                while at < len(data):
+                    began = at
+                    content, at = inflate(data, began)
+                    out += _member(convert_record(*parse_arc(content, fields), originals.get(began)))
+                    n += 1
+                put(f"{target}/{to}", bytes(out))
+                yield pa.RecordBatch.from_pydict({"file": [to], "records": pa.array([n], pa.int64())})
+
+    return jobs.mapInArrow(tidy(converted), "file string, records long")
 
 
 def read_warcs(spark: SparkSession, folder: str) -> DataFrame:
@@ -234,6 +248,7 @@ def read_warcs(spark: SparkSession, folder: str) -> DataFrame:
 
     The digest of a response is computed from the bytes read and must be the declared one.
     """
+    ship(spark)
     files = list_files(folder, ".warc.gz")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,9 +290,13 @@ def archive(rows: DataFrame, name: str, url: str, payload: str, least_bytes: int
     source, target = scratch(spark, "arc"), scratch(spark, "warc")
     index = stored(write_arcs(rows, source, name, url, payload), "arc-index")
     first = index.filter((F.col("size") >= least_bytes) & F.col("name").isNotNull()).groupBy("digest", "size").agg(F.min(F.col("name").cast("long")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    plan = index.join(first.drop("n"), ["digest", "size"], "left")
+    first = stored(first, "arc-first")
+    found = spread_join(index, first.drop("n"), ["digest", "size"], first, index.count(), "left")
     original = F.when(F.col("first") != F.coalesce(F.col("name").cast("long"), F.lit(-1)), F.col("first").cast("string"))
-    done = stored(convert_arcs(plan.withColumn("original", original), source, target), "warc-files")
-    done.count()
+    files = len(list_files(source, ".arc.gz"))
+    done = stored(convert_arcs(found.withColumn("original", original), files, source, target), "warc-files")
+    if done.agg(F.sum("records")).first()[0] not in (None, index.count()):
+        raise ValueError("the WARC files do not hold as many records as the ARC files")
+    discard(index, first, done)
     drop_folder(spark, source)
     return target
