@@ -5,13 +5,14 @@ is kept without loss; PNG files are members of stored (not deflated) ZIP archive
 
 The data source "media_archive" plans byte ranges over the archives of a folder from their
 sizes alone. A task reads its archive's central directory, takes the members whose local
-header starts in its range, and streams them in Arrow batches of bounded size. A member that
-fails to read is tried again by itself, at its offset, through a new handle, `retries` times;
+header starts in its range, reads some READ_BYTES of them at a time, and streams them in Arrow batches of bounded size. A member
+that fails is tried again by itself, at its offset, through a new handle, `retries` times;
 then the task fails, or with onError=row gives a row with the reason in `error`.
 
 Null payloads are empty ones. An empty payload is padded like any other, to PAD bytes of
 zeros. Names may repeat or be null; equal payloads have equal files. An empty table gives
-no archives and an empty result.
+no archives and an empty result. Only the two columns named are read, and the result's columns are fixed, so none can clash. A very
+long payload closes its archive and is held whole, raw and compressed, in the task at hand; one of 2 GB or more does not fit a value of Spark's and fails there.
 """
 
 from __future__ import annotations
@@ -31,12 +32,13 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from .archives import fetch, list_files, put
-from .common import scratch, stored, tidy
+from .common import discard, scratch, ship, stored, tidy
 
 PAD, WIDTH = 64, 64
 MAGIC = b"\x89PNG\r\n\x1a\n"
 LEVEL = 2
 MOST_MEMBERS = 60_000
+READ_BYTES = 4 << 20
 
 
 def padded(data: bytes) -> bytes:
@@ -129,22 +131,31 @@ def directory(uri: str, size: int) -> list[tuple[str, int, int, int]]:
     return out
 
 
-def read_member(uri: str, offset: int, size: int, crc: int, name: str) -> bytes:
-    """One member by its offset; its local header and checksum must agree with the directory."""
+def member_of(data: bytes | memoryview, size: int, crc: int, name: str) -> bytes:
+    """A member from the bytes that begin at its local header, which must agree with the directory."""
     raw = name.encode()
-    data = fetch(uri, offset, _LOCAL.size + len(raw) + size)
+    if len(data) < _LOCAL.size:
+        raise ValueError(f"member {name!r} is cut short")
     fields = _LOCAL.unpack_from(data)
-    body = data[_LOCAL.size + fields[9] + fields[10] :]
-    if fields[0] != 0x04034B50 or data[_LOCAL.size : _LOCAL.size + fields[9]] != raw:
-        raise ValueError(f"no member {name!r} at {offset} of {uri}")
+    at = _LOCAL.size + fields[9] + fields[10]
+    if fields[0] != 0x04034B50 or bytes(data[_LOCAL.size : _LOCAL.size + fields[9]]) != raw:
+        raise ValueError(f"no member {name!r} where the directory has it")
+    body = bytes(data[at : at + size])
     if len(body) != size or zlib.crc32(body) != crc:
-        raise ValueError(f"member {name!r} at {offset} of {uri} is damaged")
+        raise ValueError(f"member {name!r} is damaged")
     return body
 
 
+def read_member(uri: str, offset: int, size: int, crc: int, name: str) -> bytes:
+    """One member by its offset, through a handle of its own."""
+    return member_of(fetch(uri, offset, _LOCAL.size + len(name.encode()) + size), size, crc, name)
+
+
 def write_archives(rows: DataFrame, folder: str, name: str, payload: str, most_bytes: int = 48 << 20) -> DataFrame:
     """Store payloads as PNG members, named member number / name; one row for each archive: file, members."""
 
+    ship(rows.sparkSession)
+
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, held = TaskContext.get().partitionId(), 0, ZipBuilder()
 
@@ -163,7 +174,7 @@ def write_archives(rows: DataFrame, folder: str, name: str, payload: str, most_b
         if held.members:
             yield close()
 
-    return rows.select(F.col(name).cast("string"), F.col(payload).cast("binary")).mapInArrow(tidy(written), "file string, members long")
+    return rows.select(F.col(name).cast("string").alias("n"), F.col(payload).cast("binary").alias("p")).mapInArrow(tidy(written), "file string, members long")
 
 
 @dataclass
@@ -199,13 +210,14 @@ class ArchiveReader(DataSourceReader):
         cuts = [(uri, size, at) for uri, size in list_files(self.folder, ".zip") for at in range(0, size, self.range_bytes)]
         return [Range(uri, size, at, min(size, at + self.range_bytes)) for uri, size, at in cuts] or [Range("", 0, 0, 0)]
 
-    def _decoded(self, uri: str, member: tuple[str, int, int, int]) -> dict:
+    def _decoded(self, uri: str, member: tuple[str, int, int, int], held: memoryview) -> dict:
+        """A member out of the bytes at hand; where they fail, by its own offset, `retries` times."""
         name, offset, size, crc = member
         key, n_bytes, _ = name.rsplit(".", 2)
         row = {"name": key or None, "n_bytes": int(n_bytes), "uri": uri, "offset": offset}
         for left in range(self.retries, -1, -1):
             try:
-                media = read_member(uri, offset, size, crc, name)
+                media = member_of(held, size, crc, name) if left == self.retries else read_member(uri, offset, size, crc, name)
                 payload, width, height = decode_png(media)
                 return {**row, "media": media, "payload": payload, "width": width, "height": height, "feature": feature(payload), "error": None}
             except (OSError, ValueError, zlib.error, struct.error) as failure:
@@ -217,19 +229,29 @@ class ArchiveReader(DataSourceReader):
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("name", pa.string()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("payload", pa.binary()), ("width", pa.int32()), ("height", pa.int32()), ("feature", pa.string()), ("uri", pa.string()), ("offset", pa.int64()), ("error", pa.string())])
-        rows, held = [], 0
-        for member in directory(partition.uri, partition.size) if partition.uri else ():
-            if partition.start <= member[1] < partition.end:
-                rows.append(self._decoded(partition.uri, member))
-                held += len(rows[-1]["payload"] or b"") + member[2]
-                if held >= 8 << 20 or len(rows) >= 4096:
-                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                    rows, held = [], 0
+        own = sorted((m for m in (directory(partition.uri, partition.size) if partition.uri else ()) if partition.start <= m[1] < partition.end), key=lambda m: m[1])
+        rows, held, data, base = [], 0, b"", 0
+        for i, member in enumerate(own):
+            end = member[1] + _LOCAL.size + len(member[0].encode()) + member[2]
+            if end > base + len(data):  # the next members that fill READ_BYTES, or this one alone, in one request
+                base = member[1]
+                fits = [m[1] + _LOCAL.size + len(m[0].encode()) + m[2] for m in own[i : i + 4096]]
+                until = max([e for e in fits if e - base <= READ_BYTES], default=end)
+                try:
+                    data = fetch(partition.uri, base, max(until, end) - base)
+                except OSError:  # each member then tries by itself
+                    data = b""
+            rows.append(self._decoded(partition.uri, member, memoryview(data)[member[1] - base : end - base]))
+            held += len(rows[-1]["payload"] or b"") + member[2]
+            if held >= 8 << 20 or len(rows) >= 4096:
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                rows, held = [], 0
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
 def read_archives(spark: SparkSession, folder: str, **options: str) -> DataFrame:
+    ship(spark)
     spark.dataSource.register(ArchiveSource)
     return spark.read.format("media_archive").options(**options).load(folder)
 
@@ -237,5 +259,5 @@ def read_archives(spark: SparkSession, folder: str, **options: str) -> DataFrame
 def store_payloads(rows: DataFrame, name: str, payload: str) -> str:
     """Write the archives of rows and return their folder."""
     folder = scratch(rows.sparkSession, "media")
-    stored(write_archives(rows, folder, name, payload), "media-files").count()
+    discard(stored(write_archives(rows, folder, name, payload), "media-files"))
     return folder
