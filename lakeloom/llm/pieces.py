@@ -273,6 +273,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
 
 def decode(coded: DataFrame, path: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
     """coded with the text of its ids; null ids give null. A column called `to` is replaced."""
+    ship(coded.sparkSession)
     kept = [c for c in coded.columns if c != to]
     schema = coded.select(*kept).schema.add(to, "string")
 

@@ -12,7 +12,10 @@ Ids behind the last separator of a file are an unfinished document, reported wit
 closed = false. A file without ids has no documents. Writing: null texts are empty documents,
 which are an end id alone; a text's own end ids, if the tokenizer has a text for them, would
 split it, so they are escaped by encoding that text in two parts. Ids of rows go to a
-companion table in the order of the file, which the scan does not read.
+companion table in the order of the file, which the scan does not read; null ids stay null and repeated rows are
+documents of their own. A very long text is encoded in one piece and closes its file; a document may cover any number of
+blocks. Empty files give no blocks, an empty table gives no files and an empty result. Only id and text are read, so
+other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -26,13 +29,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .archives import fetch, list_files, put
-from .common import tidy
+from .common import ship, tidy
 from .tokens import encoder
 from .words import slices
 
 
 def write_token_files(docs: DataFrame, folder: str, key: str, text: str, tokenizer: str, end_id: int, end_text: str = "<|endoftext|>", width: int = 2, most_tokens: int = 16_000_000) -> DataFrame:
     """Write files of up to about most_tokens; one row for each document: file, number, id."""
+    ship(docs.sparkSession)
     kind = {2: "<u2", 4: "<u4"}[width]
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,6 +92,7 @@ def _block(ids: np.ndarray, end_id: int) -> tuple[int, int, np.ndarray]:
 
 def scan_token_files(spark: SparkSession, folder: str, end_id: int, width: int = 2, block_tokens: int = 1 << 21) -> DataFrame:
     """One row for each document: file, number (its place in the file), n_tokens (without the end), closed."""
+    ship(spark)
     kind = {2: "<u2", 4: "<u4"}[width]
     files, step = list_files(folder, ".tok"), block_tokens * width
     number = F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(step).cast("long"))).alias("block", "at")

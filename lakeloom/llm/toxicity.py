@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import least_hashed, stored, thin, tidy
+from .common import least_hashed, ship, stored, thin, tidy
 from .words import U, hash_words, mix, slices
 
 BITS = 20
@@ -235,6 +235,7 @@ class Model:
 
     def apply(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         """key, score, predicted, n_words and passages: the significant segments, as word positions."""
+        ship(docs.sparkSession)
         shared = docs.sparkSession.sparkContext.broadcast((self.weights, self.calibration, self.options))
 
         def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,6 +255,7 @@ class Model:
 
     def keep(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """The rows of docs that are not predicted toxic, with all their columns."""
+        ship(docs.sparkSession)
         shared = docs.sparkSession.sparkContext.broadcast((self.weights, self.calibration, self.options))
         at = docs.columns.index(text)
 
@@ -270,6 +272,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """Learn from the labelled rows for which `teaches` (over the key) holds."""
     o = options or Options()
     spark = docs.sparkSession
+    ship(spark)
     known = labels.select(F.col(key).cast("long").alias("_k"), F.col(label).cast("int").alias("_y")).filter("_k is not null and _y in (0, 1)")
     known = known.groupBy("_k").agg(F.max("_y").alias("_y"))
     if teaches is not None:

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship
+
 # Terms that reject a url by themselves.
 STRICT = ("adult", "bets", "betting", "camgirls", "casino", "cialis", "escort", "escorts", "gambling", "hentai", "malware", "nude", "pharma", "phishing", "pills", "porn", "porno", "sex", "spam", "viagra", "warez", "xxx")
 # Terms that reject a url only with others of this list.
@@ -91,6 +93,7 @@ def term_counter(strict: Sequence[str], soft: Sequence[str]):
 
 def judge_urls(df: DataFrame, rules: Sequence[HostRule], url: str = "url", strict: Sequence[str] = STRICT, soft: Sequence[str] = SOFT, soft_limit: int = 2) -> DataFrame:
     """df with host, path, rule, strict_hits, soft_hits and verdict (allow or block)."""
+    ship(df.sparkSession)
     address = F.col(url)
     host, path = host_of(address), path_of(address)
     hits = term_counter(strict, soft)(ascii_lower(address))
