@@ -48,7 +48,7 @@ from .words import slices
 
 PLACES, BANDS = 128, 32
 LEFT_BLOCK, RIGHT_BLOCK = 512, 4096
-LEVELS = 3
+LEVELS = 2
 LEAST_SIMILARITY = 0.6
 FILTER_BITS = 1 << 24
 
@@ -327,7 +327,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     discard(pairs, confirmed)
 
     def joined(more: DataFrame) -> DataFrame:
-        return comp if more.isEmpty() else components(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+        """comp after further links: the components that these join are put together, as nodes of a graph of their own."""
+        nodes = comp.select("node", F.col("component").alias("c"))
+        ends = more.join(nodes.toDF("a", "ca"), "a", "left").join(nodes.toDF("b", "cb"), "b", "left")
+        ends = ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).filter("a <> b")
+        ends = stored(ends.distinct(), "joins")
+        if ends.isEmpty():
+            return comp
+        whole = components(ends).select("node", F.col("component").alias("low"))
+        old = comp.join(whole.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("low", "component").alias("component"))
+        return stored(old.union(whole.join(comp.select("node"), "node", "left_anti").select("node", F.col("low").alias("component"))), "components")
 
     far, open_rows = None, []
     for level in range(LEVELS):
