@@ -52,7 +52,7 @@ HEAD_BITS = 18
 HEAD = 1 << HEAD_BITS
 END_HASH = U(0xE4D0F7E87E0CE1D5)
 CHUNK, BLOCK_CHUNKS = 4 << 20, 2
-STRETCH, BATCH = 1024, 1 << 18  # tokens of a stretch, and of the stretches that are worked on together
+STRETCH, BATCH = 2048, 1 << 19  # tokens of a stretch, and of the stretches that are worked on together
 UNIT = 1 << 10  # expected counts of words are added up as whole multiples of 1 / UNIT
 SHARE = (1 << 16) - 1
 
@@ -118,6 +118,8 @@ class Chunk:
 def chunked(docs: DataFrame, teaches: Column, key: str, text: str) -> DataFrame:
     """Chunk rows of all texts; at most BLOCK_CHUNKS of a task, one after the other, have one block number."""
 
+    ship(docs.sparkSession)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = 0
         for batch in batches:
@@ -266,10 +268,9 @@ class Chain:
             inside = ~first[s.order]
             sums.move += (alpha[later].T @ emits[s.n :] + before[s.order][inside].T @ emits[: s.n][inside]) * self.move
             alpha *= beta
-            alpha /= alpha.sum(axis=1, keepdims=True)
             sums.start += alpha[: s.n][~inside].sum(axis=0)
-            for i in range(alpha.shape[1]):
-                sums.emit[:, i] += np.bincount(s.codes, weights=alpha[:, i], minlength=len(sums.emit))
+            for i, post in enumerate(np.ascontiguousarray(alpha.T)):
+                sums.emit[:, i] += np.bincount(s.codes, weights=post, minlength=len(sums.emit))
 
 
 def _runs(sizes: np.ndarray) -> list[tuple[int, int]]:
@@ -325,9 +326,13 @@ def class_signs(n: int) -> np.ndarray:
 
 
 def add_mixture(logs: np.ndarray, prior: np.ndarray, starts: int, chunk: Chunk, sums: Sums) -> None:
-    """Expected class counts of a mixture that draws each text whole from one state, for several mixtures side by side."""
+    """Expected class counts of a mixture that draws each text whole from one state, for several mixtures side by side.
+
+    A text's share in a state is left out of the state's class counts where it is below 1e-4.
+    """
     kinds, sizes, k = classes_of(chunk.words), np.diff(chunk.offsets), len(prior) // starts
-    fit = np.add.reduceat(logs[kinds][chunk.codes], chunk.offsets[:-1], axis=0, dtype=np.float64) + prior
+    by_word = np.ascontiguousarray(logs[kinds].T, dtype=np.float64)  # a column at a time adds up far faster
+    fit = np.column_stack([np.add.reduceat(column[chunk.codes], chunk.offsets[:-1]) for column in by_word]) + prior
     fit = fit.reshape(-1, starts, k)
     top = fit.max(axis=2, keepdims=True)
     post = np.exp(fit - top)
@@ -335,15 +340,18 @@ def add_mixture(logs: np.ndarray, prior: np.ndarray, starts: int, chunk: Chunk,
     sums.likelihood[:starts] += (top + np.log(total)).sum(axis=(0, 2)) / np.log(10)
     post = (post / total).reshape(-1, starts * k)
     sums.start += post.sum(axis=0)
-    for i in range(starts * k):
-        own = np.bincount(chunk.codes, weights=np.repeat(post[:, i], sizes), minlength=len(kinds))
+    text, state = np.nonzero(post >= 1e-4)
+    n = sizes[text]
+    at = np.arange(n.sum()) + np.repeat(chunk.offsets[:-1][text] - np.cumsum(n) + n, n)
+    words = np.bincount(chunk.codes[at] + np.repeat(state * len(kinds), n), weights=np.repeat(post[text, state], n), minlength=starts * k * len(kinds))
+    for i, own in enumerate(words.reshape(starts * k, -1)):
         sums.emit[:, i] += np.bincount(kinds, weights=own, minlength=CLASSES)
 
 
 def seed_sums(chunks: DataFrame, k: int, weight: float, starts: int, rounds: int) -> tuple[Sums, np.ndarray]:
     """Expected class counts of k kinds of texts, and all tokens by class.
 
-    Each of `starts` mixtures begins with the corpus's shares, raised or lowered by a tenth class by
+    Each of `starts` mixtures begins with the corpus's shares, raised or lowered by a twentieth class by
     class, and takes `rounds` passes over all texts that teach; the likeliest is kept. How far the
     states lie apart at first does not depend on the number of texts.
     """
