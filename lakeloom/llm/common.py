@@ -89,9 +89,10 @@ def spread_join(many: DataFrame, few: DataFrame, keys: list[str], sizes: DataFra
     """
     most = max(1, total // HOT_KEYS)
     hot = sizes.filter(F.col("n") > most).select(*keys, F.ceil(F.col("n") / most).cast("int").alias("_parts"))
-    # A row that matches nothing keeps the plan, and what each join in it is seen to do, the same with and without hot keys.
-    none = many.sparkSession.range(1).select(*[F.lit(None).cast(sizes.schema[k].dataType).alias(k) for k in keys], F.lit(1).alias("_parts"))
-    hot = F.broadcast(hot.union(none))
+    # One more row, of key 0 and one part, which changes nothing: without hot keys too the list is then not empty,
+    # and the plan, and what each join in it is seen to do, stays the same.
+    zero = many.sparkSession.range(1).select(*[F.col("id").cast(sizes.schema[k].dataType).alias(k) for k in keys], F.lit(1).alias("_parts"))
+    hot = F.broadcast(hot.union(zero).groupBy(*keys).agg(F.max("_parts").alias("_parts")))
     number = F.monotonically_increasing_id()
     blank = reduce(lambda a, b: a | b, (F.col(k).isNull() for k in keys))
     part = F.when(blank, F.pmod(number, F.lit(HOT_KEYS))).otherwise(F.coalesce(F.pmod(number, "_parts"), F.lit(0)))
