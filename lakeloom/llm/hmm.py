@@ -53,6 +53,7 @@ HEAD = 1 << HEAD_BITS
 END_HASH = U(0xE4D0F7E87E0CE1D5)
 CHUNK, BLOCK_CHUNKS = 4 << 20, 2
 STRETCH, BATCH = 2048, 1 << 19  # tokens of a stretch, and of the stretches that are worked on together
+SCALED = 4  # forward variables are scaled at every fourth token: four emissions are far from the least double
 UNIT = 1 << 10  # expected counts of words are added up as whole multiples of 1 / UNIT
 SHARE = (1 << 16) - 1
 
@@ -187,18 +188,22 @@ class Chain:
         s, k = _Stretches(codes, begin, sizes), len(self.start)
         emits = self.emit[s.codes]
         out = np.eye(k) * emits[: s.n, None, :]
+        rows, grown = out.reshape(-1, k), np.empty((s.n * k, k))
         for t, (at, _, m) in enumerate(s.steps(), 1):
-            grown = (out[:m].reshape(-1, k) @ self.move).reshape(m, k, k) * emits[at : at + m, None, :]
-            out[:m] = grown if t % 8 else grown / grown.max(axis=(1, 2))[:, None, None]
+            np.matmul(rows[: m * k], self.move, out=grown[: m * k])
+            np.multiply(grown[: m * k].reshape(m, k, k), emits[at : at + m, None, :], out=out[:m])
+            if t % 8 == 0:
+                out[:m] /= out[:m].max(axis=(1, 2))[:, None, None]
         back = np.empty_like(out)
         back[s.order] = out
         return back
 
-    def _batches(self, codes: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    def _batches(self, codes: np.ndarray, offsets: np.ndarray, backward: bool = True) -> Iterator[tuple[np.ndarray, ...]]:
         """Stretches of some BATCH tokens: (text, begin, size, first, enter, before, leave).
 
         enter is the state's distribution before a stretch, before that at the last token of
         the stretch before, leave the backward variable at the stretch's last token, up to a factor.
+        Without `backward` leave is not worked out, so that the last stretch of a text needs no matrix.
         """
         size, k = np.diff(offsets), len(self.start)
         parts = -(-size // STRETCH)
@@ -209,14 +214,18 @@ class Chain:
         enter, before, leave = np.tile(self.start, (len(text), 1)), np.zeros((len(text), k)), np.ones((len(text), k))
         long = np.flatnonzero(parts[text] > 1)
         if len(long):
-            matrices = np.concatenate([self.transfer(codes, begin[long[a:b]], sizes[long[a:b]]) for a, b in _runs(sizes[long])])
+            last = number[long] == parts[text[long]] - 1
+            wanted = long if backward else long[~last]
+            matrices = np.empty((len(long), k, k))
+            matrices[backward | ~last] = np.concatenate([self.transfer(codes, begin[wanted[a:b]], sizes[wanted[a:b]]) for a, b in _runs(sizes[wanted])])
             held = self.start
-            for i, m in zip(long.tolist(), matrices, strict=True):
+            for i, m, ends in zip(long.tolist(), matrices, last.tolist(), strict=True):
                 if number[i]:
                     before[i], enter[i] = held, held @ self.move
-                held = enter[i] @ m
-                held = held / held.sum()
-            for j in range(len(long) - 1, 0, -1):
+                if not ends:
+                    held = enter[i] @ m
+                    held = held / held.sum()
+            for j in range(len(long) - 1, 0, -1) if backward else ():
                 i = long[j]
                 if number[i]:
                     back = self.move @ (matrices[j] @ leave[i])
@@ -227,42 +236,50 @@ class Chain:
             yield text[i], begin[i], sizes[i], number[i] == 0, enter[i], before[i], leave[i]
 
     def _forward(self, s: _Stretches, enter: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(scaled forward variables, emissions, scales) in the order of s."""
-        emits, ones = self.emit[s.codes], np.ones(len(self.start))
-        alpha, scale = np.empty_like(emits), np.empty(len(emits))
-        now = enter[s.order] * emits[: s.n]
-        scale[: s.n] = now @ ones
-        alpha[: s.n] = now / scale[: s.n, None]
-        for at, prior, m in s.steps():
-            now = alpha[prior : prior + m] @ self.move
-            now *= emits[at : at + m]
+        """(scaled forward variables, emissions over scales, log10 likelihood of each stretch) in the order of s."""
+        emits, ones, logs = self.emit[s.codes], np.ones(len(self.start)), np.zeros(s.n)
+        alpha = np.empty_like(emits)
+
+        def scale(at: int, m: int) -> None:
+            now = alpha[at : at + m]
             total = now @ ones
-            now /= total[:, None]
-            alpha[at : at + m], scale[at : at + m] = now, total
-        return alpha, emits, scale
+            logs[:m] += np.log10(total)
+            inverse = (1 / total)[:, None]
+            now *= inverse
+            emits[at : at + m] *= inverse
+
+        np.multiply(enter[s.order], emits[: s.n], out=alpha[: s.n])
+        scale(0, s.n)
+        for t, (at, prior, m) in enumerate(s.steps(), 1):
+            now = alpha[at : at + m]
+            np.matmul(alpha[prior : prior + m], self.move, out=now)
+            now *= emits[at : at + m]
+            if t % SCALED == 0:
+                scale(at, m)
+        return alpha, emits, logs + np.log10(alpha[s.last] @ ones)
 
     def likelihood(self, codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """log10 P of each sequence, by the scaled forward recursion; none may be empty."""
         out = np.zeros(len(offsets) - 1)
-        for text, begin, sizes, _, enter, _, _ in self._batches(codes, offsets):
+        for text, begin, sizes, _, enter, _, _ in self._batches(codes, offsets, backward=False):
             s = _Stretches(codes, begin, sizes)
-            scale = self._forward(s, enter)[2]
-            out += np.bincount(text[s.order][s.row], weights=np.log10(scale), minlength=len(out))
+            out += np.bincount(text[s.order], weights=self._forward(s, enter)[2], minlength=len(out))
         return out
 
     def expect(self, codes: np.ndarray, offsets: np.ndarray, sums: Sums) -> None:
         """Add the expected counts of whole texts."""
+        against = np.ascontiguousarray(self.move.T)
         for _, begin, sizes, first, enter, before, leave in self._batches(codes, offsets):
             s = _Stretches(codes, begin, sizes)
-            alpha, emits, scale = self._forward(s, enter)
-            sums.likelihood[0] += np.log10(scale).sum()
-            emits /= scale[:, None]
+            alpha, emits, logs = self._forward(s, enter)
+            sums.likelihood[0] += logs.sum()
             beta = np.empty_like(alpha)
             leave = leave[s.order]
             beta[s.last] = leave / (alpha[s.last] * leave).sum(axis=1, keepdims=True)
             for at, prior, m in reversed(list(s.steps())):
-                emits[at : at + m] *= beta[at : at + m]  # now what lies ahead of the time before
-                beta[prior : prior + m] = emits[at : at + m] @ self.move.T
+                ahead = emits[at : at + m]  # of the time before
+                ahead *= beta[at : at + m]
+                np.matmul(ahead, against, out=beta[prior : prior + m])
             emits[: s.n] *= beta[: s.n]
             later = s.row[s.n :] + s.at[s.time[s.n :] - 1]
             inside = ~first[s.order]
