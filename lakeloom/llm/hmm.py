@@ -357,11 +357,14 @@ def add_mixture(logs: np.ndarray, prior: np.ndarray, starts: int, chunk: Chunk,
     sums.likelihood[:starts] += (top + np.log(total)).sum(axis=(0, 2)) / np.log(10)
     post = (post / total).reshape(-1, starts * k)
     sums.start += post.sum(axis=0)
-    text, state = np.nonzero(post >= 1e-4)
+    held = post >= 1e-4
+    whole = held.all(axis=0)
+    text, state = np.nonzero(held & ~whole)
     n = sizes[text]
     at = np.arange(n.sum()) + np.repeat(chunk.offsets[:-1][text] - np.cumsum(n) + n, n)
-    words = np.bincount(chunk.codes[at] + np.repeat(state * len(kinds), n), weights=np.repeat(post[text, state], n), minlength=starts * k * len(kinds))
-    for i, own in enumerate(words.reshape(starts * k, -1)):
+    words = np.bincount(chunk.codes[at] + np.repeat(state * len(kinds), n), weights=np.repeat(post[text, state], n), minlength=starts * k * len(kinds)).reshape(starts * k, -1)
+    for i in range(starts * k):
+        own = np.bincount(chunk.codes, weights=np.repeat(post[:, i], sizes), minlength=len(kinds)) if whole[i] else words[i]
         sums.emit[:, i] += np.bincount(kinds, weights=own, minlength=CLASSES)
 
 
