@@ -276,15 +276,17 @@ class Chain:
             beta = np.empty_like(alpha)
             leave = leave[s.order]
             beta[s.last] = leave / (alpha[s.last] * leave).sum(axis=1, keepdims=True)
+            moved = np.zeros_like(self.move)
             for at, prior, m in reversed(list(s.steps())):
-                ahead = emits[at : at + m]  # of the time before
-                ahead *= beta[at : at + m]
+                now, ahead, then = beta[at : at + m], emits[at : at + m], alpha[prior : prior + m]
+                ahead *= now
                 np.matmul(ahead, against, out=beta[prior : prior + m])
-            emits[: s.n] *= beta[: s.n]
-            later = s.row[s.n :] + s.at[s.time[s.n :] - 1]
-            inside = ~first[s.order]
-            sums.move += (alpha[later].T @ emits[s.n :] + before[s.order][inside].T @ emits[: s.n][inside]) * self.move
-            alpha *= beta
+                moved += then.T @ ahead
+                alpha[at : at + m] *= now  # no step needs it any more
+            inside, now = ~first[s.order], beta[: s.n]
+            moved += before[s.order][inside].T @ (emits[: s.n] * now)[inside]
+            sums.move += moved * self.move
+            alpha[: s.n] *= now
             sums.start += alpha[: s.n][~inside].sum(axis=0)
             for i, post in enumerate(np.ascontiguousarray(alpha.T)):
                 sums.emit[:, i] += np.bincount(s.codes, weights=post, minlength=len(sums.emit))
