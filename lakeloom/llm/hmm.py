@@ -53,6 +53,7 @@ HEAD = 1 << HEAD_BITS
 END_HASH = U(0xE4D0F7E87E0CE1D5)
 CHUNK, BLOCK_CHUNKS = 4 << 20, 2
 STRETCH, BATCH = 2048, 1 << 19  # tokens of a stretch, and of the stretches that are worked on together
+COMMON = 512  # commonest classes of a chunk, for which a mixture takes products of matrices over a table of texts and classes
 SCALED = 4  # forward variables are scaled at every fourth token: four emissions are far from the least double
 UNIT = 1 << 10  # expected counts of words are added up as whole multiples of 1 / UNIT
 SHARE = (1 << 16) - 1
@@ -137,6 +138,31 @@ def chunked(docs: DataFrame, teaches: Column, key: str, text: str) -> DataFrame:
 # -- recursions -----------------------------------------------------------------------------
 
 
+class Room:
+    """Large arrays that one batch leaves to the next: fresh pages cost more than what is written to them."""
+
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, *shape: int) -> np.ndarray:
+        """An array of that shape with any content, until the same name is asked for again."""
+        size = int(np.prod(shape))
+        if name not in self.held or self.held[name].size < size:
+            self.held[name] = np.empty(size)
+        return self.held[name][:size].reshape(shape)
+
+    def rows(self, name: str, table: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The rows of a table at codes, all of which it has."""
+        return np.take(table, codes, axis=0, out=self(name, len(codes), table.shape[1]), mode="clip")
+
+    def columns(self, name: str, table: np.ndarray) -> np.ndarray:
+        """A table's columns, each in one piece; copied by blocks that stay in the cache."""
+        out = self(name, table.shape[1], len(table))
+        for a in range(0, len(table), 4096):
+            out[:, a : a + 4096] = table[a : a + 4096].T
+        return out
+
+
 class _Stretches:
     """Some stretches, longest first, with their tokens in order of time: at each time, those that last so long."""
 
@@ -167,12 +193,12 @@ class Sums:
 
     @classmethod
     def zero(cls, k: int, rows: int = CLASSES) -> Sums:
-        return cls(np.zeros(k), np.zeros((k, k)), np.zeros((rows, k)), np.zeros(k))
+        return cls(np.zeros(k), np.zeros((k, k)), np.zeros((rows, k), order="F"), np.zeros(k))  # counts come in state by state
 
     def chain(self, share: np.ndarray, weight: float) -> Chain:
         """Expected counts to probabilities; `weight` tokens spread like `share` are added to each state."""
         emit = self.emit + weight * share[:, None]
-        return Chain((self.start + 1) / (self.start + 1).sum(), (self.move + 1) / (self.move + 1).sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+        return Chain((self.start + 1) / (self.start + 1).sum(), (self.move + 1) / (self.move + 1).sum(axis=1, keepdims=True), np.ascontiguousarray(emit / emit.sum(axis=0)))
 
 
 @dataclass
@@ -183,10 +209,10 @@ class Chain:
     move: np.ndarray
     emit: np.ndarray
 
-    def transfer(self, codes: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    def transfer(self, codes: np.ndarray, begin: np.ndarray, sizes: np.ndarray, room: Room) -> np.ndarray:
         """A matrix for each stretch, up to a factor: from the state at its first token, before it is seen, to that at its last, after."""
         s, k = _Stretches(codes, begin, sizes), len(self.start)
-        emits = self.emit[s.codes]
+        emits = room.rows("emits", self.emit, s.codes)
         out = np.eye(k) * emits[: s.n, None, :]
         rows, grown = out.reshape(-1, k), np.empty((s.n * k, k))
         for t, (at, _, m) in enumerate(s.steps(), 1):
@@ -198,7 +224,7 @@ class Chain:
         back[s.order] = out
         return back
 
-    def _batches(self, codes: np.ndarray, offsets: np.ndarray, backward: bool = True) -> Iterator[tuple[np.ndarray, ...]]:
+    def _batches(self, codes: np.ndarray, offsets: np.ndarray, room: Room, backward: bool = True) -> Iterator[tuple[np.ndarray, ...]]:
         """Stretches of some BATCH tokens: (text, begin, size, first, enter, before, leave).
 
         enter is the state's distribution before a stretch, before that at the last token of
@@ -217,7 +243,7 @@ class Chain:
             last = number[long] == parts[text[long]] - 1
             wanted = long if backward else long[~last]
             matrices = np.empty((len(long), k, k))
-            matrices[backward | ~last] = np.concatenate([self.transfer(codes, begin[wanted[a:b]], sizes[wanted[a:b]]) for a, b in _runs(sizes[wanted])])
+            matrices[backward | ~last] = np.concatenate([self.transfer(codes, begin[wanted[a:b]], sizes[wanted[a:b]], room) for a, b in _runs(sizes[wanted])])
             held = self.start
             for i, m, ends in zip(long.tolist(), matrices, last.tolist(), strict=True):
                 if number[i]:
@@ -235,10 +261,10 @@ class Chain:
             i = order[a:b]
             yield text[i], begin[i], sizes[i], number[i] == 0, enter[i], before[i], leave[i]
 
-    def _forward(self, s: _Stretches, enter: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _forward(self, s: _Stretches, enter: np.ndarray, room: Room) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(scaled forward variables, emissions over scales, log10 likelihood of each stretch) in the order of s."""
-        emits, ones, logs = self.emit[s.codes], np.ones(len(self.start)), np.zeros(s.n)
-        alpha = np.empty_like(emits)
+        emits, ones, logs = room.rows("emits", self.emit, s.codes), np.ones(len(self.start)), np.zeros(s.n)
+        alpha = room("alpha", *emits.shape)
 
         def scale(at: int, m: int) -> None:
             now = alpha[at : at + m]
@@ -258,37 +284,36 @@ class Chain:
                 scale(at, m)
         return alpha, emits, logs + np.log10(alpha[s.last] @ ones)
 
-    def likelihood(self, codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def likelihood(self, codes: np.ndarray, offsets: np.ndarray, room: Room | None = None) -> np.ndarray:
         """log10 P of each sequence, by the scaled forward recursion; none may be empty."""
-        out = np.zeros(len(offsets) - 1)
-        for text, begin, sizes, _, enter, _, _ in self._batches(codes, offsets, backward=False):
+        out, room = np.zeros(len(offsets) - 1), room or Room()
+        for text, begin, sizes, _, enter, _, _ in self._batches(codes, offsets, room, backward=False):
             s = _Stretches(codes, begin, sizes)
-            out += np.bincount(text[s.order], weights=self._forward(s, enter)[2], minlength=len(out))
+            out += np.bincount(text[s.order], weights=self._forward(s, enter, room)[2], minlength=len(out))
         return out
 
-    def expect(self, codes: np.ndarray, offsets: np.ndarray, sums: Sums) -> None:
+    def expect(self, codes: np.ndarray, offsets: np.ndarray, sums: Sums, room: Room | None = None) -> None:
         """Add the expected counts of whole texts."""
-        against = np.ascontiguousarray(self.move.T)
-        for _, begin, sizes, first, enter, before, leave in self._batches(codes, offsets):
+        against, room = np.ascontiguousarray(self.move.T), room or Room()
+        for _, begin, sizes, first, enter, before, leave in self._batches(codes, offsets, room):
             s = _Stretches(codes, begin, sizes)
-            alpha, emits, logs = self._forward(s, enter)
+            alpha, emits, logs = self._forward(s, enter, room)
             sums.likelihood[0] += logs.sum()
-            beta = np.empty_like(alpha)
             leave = leave[s.order]
-            beta[s.last] = leave / (alpha[s.last] * leave).sum(axis=1, keepdims=True)
-            moved = np.zeros_like(self.move)
+            beta = leave / (alpha[s.last] * leave).sum(axis=1, keepdims=True)  # of a stretch at the time in hand; at its last token until then
+            moved, held = np.zeros_like(self.move), np.empty_like(beta)
             for at, prior, m in reversed(list(s.steps())):
-                now, ahead, then = beta[at : at + m], emits[at : at + m], alpha[prior : prior + m]
-                ahead *= now
-                np.matmul(ahead, against, out=beta[prior : prior + m])
-                moved += then.T @ ahead
-                alpha[at : at + m] *= now  # no step needs it any more
-            inside, now = ~first[s.order], beta[: s.n]
-            moved += before[s.order][inside].T @ (emits[: s.n] * now)[inside]
+                now, ahead, here = beta[:m], held[:m], slice(at, at + m)
+                np.multiply(emits[here], now, out=ahead)
+                alpha[here] *= now  # no step needs it any more
+                np.matmul(ahead, against, out=now)
+                moved += alpha[prior : prior + m].T @ ahead
+            inside = ~first[s.order]
+            moved += before[s.order][inside].T @ (emits[: s.n] * beta)[inside]
             sums.move += moved * self.move
-            alpha[: s.n] *= now
+            alpha[: s.n] *= beta
             sums.start += alpha[: s.n][~inside].sum(axis=0)
-            for i, post in enumerate(np.ascontiguousarray(alpha.T)):
+            for i, post in enumerate(room.columns("emits", alpha)):  # the emissions are done with
                 sums.emit[:, i] += np.bincount(s.codes, weights=post, minlength=len(sums.emit))
 
 
@@ -302,28 +327,21 @@ def _runs(sizes: np.ndarray) -> list[tuple[int, int]]:
 # -- training passes ------------------------------------------------------------------------
 
 
-def add_chunk(chain: Chain, chunk: Chunk, sums: Sums) -> None:
+def add_chunk(chain: Chain, chunk: Chunk, sums: Sums, room: Room | None = None) -> None:
     """Add a chunk's expected counts by class."""
-    kinds = classes_of(chunk.words)
-    own = Sums.zero(len(chain.start), len(kinds))
-    Chain(chain.start, chain.move, chain.emit[kinds]).expect(chunk.codes, chunk.offsets, own)
-    sums.start += own.start
-    sums.move += own.move
-    sums.likelihood += own.likelihood
-    for i in range(len(chain.start)):
-        sums.emit[:, i] += np.bincount(kinds, weights=own.emit[:, i], minlength=CLASSES)
+    chain.expect(classes_of(chunk.words)[chunk.codes], chunk.offsets, sums, room)
 
 
 def _pass(chunks: DataFrame, k: int, add) -> Sums:
-    """Sums over all chunks of texts that teach, by add(chunk, sums)."""
+    """Sums over all chunks of texts that teach, by add(chunk, sums, room)."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, any_rows = Sums.zero(k), False
+        sums, any_rows, room = Sums.zero(k), False, Room()
         for batch in batches:
             for _, chunk in Chunk.read(batch):
                 if chunk.teaches.any():
                     any_rows = True
-                    add(chunk.teaching(), sums)
+                    add(chunk.teaching(), sums, room)
         if any_rows:  # rows -1 - i: starts, transitions from i - 1, then the likelihood
             table = np.vstack([sums.emit, sums.start[None, :], sums.move, sums.likelihood[None, :]])
             numbers = np.concatenate([np.arange(CLASSES), -1 - np.arange(k + 2)])
@@ -349,9 +367,18 @@ def add_mixture(logs: np.ndarray, prior: np.ndarray, starts: int, chunk: Chunk,
 
     A text's share in a state is left out of the state's class counts where it is below 1e-4.
     """
-    kinds, sizes, k = classes_of(chunk.words), np.diff(chunk.offsets), len(prior) // starts
-    by_word = np.ascontiguousarray(logs[kinds].T, dtype=np.float64)  # a column at a time adds up far faster
-    fit = np.column_stack([np.add.reduceat(column[chunk.codes], chunk.offsets[:-1]) for column in by_word]) + prior
+    tokens, sizes, k = classes_of(chunk.words)[chunk.codes], np.diff(chunk.offsets), len(prior) // starts
+    width = min(COMMON, 2 * len(tokens) // len(sizes))  # so that the table is at most twice as long as the tokens
+    common = np.argpartition(np.bincount(tokens, minlength=CLASSES), -width)[-width:]
+    place = np.full(CLASSES, -1)
+    place[common] = np.arange(width)
+    at, text = place[tokens], np.repeat(np.arange(len(sizes)), sizes)
+    rare = at < 0
+    table = np.bincount((text * width + at)[~rare], minlength=len(sizes) * width).reshape(-1, width).astype(np.float64)
+    tokens, text = tokens[rare], text[rare]
+    fit = table @ logs[common] + prior
+    for i, column in enumerate(np.ascontiguousarray(logs.T, dtype=np.float64)):  # a column at a time adds up far faster
+        fit[:, i] += np.bincount(text, weights=column[tokens], minlength=len(sizes))
     fit = fit.reshape(-1, starts, k)
     top = fit.max(axis=2, keepdims=True)
     post = np.exp(fit - top)
@@ -360,14 +387,11 @@ def add_mixture(logs: np.ndarray, prior: np.ndarray, starts: int, chunk: Chunk,
     post = (post / total).reshape(-1, starts * k)
     sums.start += post.sum(axis=0)
     held = post >= 1e-4
-    whole = held.all(axis=0)
-    text, state = np.nonzero(held & ~whole)
-    n = sizes[text]
-    at = np.arange(n.sum()) + np.repeat(chunk.offsets[:-1][text] - np.cumsum(n) + n, n)
-    words = np.bincount(chunk.codes[at] + np.repeat(state * len(kinds), n), weights=np.repeat(post[text, state], n), minlength=starts * k * len(kinds)).reshape(starts * k, -1)
+    post[~held] = 0
+    sums.emit[common] += (post.T @ table).T
     for i in range(starts * k):
-        own = np.bincount(chunk.codes, weights=np.repeat(post[:, i], sizes), minlength=len(kinds)) if whole[i] else words[i]
-        sums.emit[:, i] += np.bincount(kinds, weights=own, minlength=CLASSES)
+        some = slice(None) if held[:, i].all() else held[:, i][text]
+        sums.emit[:, i] += np.bincount(tokens[some], weights=post[:, i][text[some]], minlength=CLASSES)
 
 
 def seed_sums(chunks: DataFrame, k: int, weight: float, starts: int, rounds: int) -> tuple[Sums, np.ndarray]:
@@ -378,7 +402,7 @@ def seed_sums(chunks: DataFrame, k: int, weight: float, starts: int, rounds: int
     states lie apart at first does not depend on the number of texts.
     """
 
-    def count(chunk: Chunk, sums: Sums) -> None:
+    def count(chunk: Chunk, sums: Sums, room: Room) -> None:
         sums.emit[:, 0] += np.bincount(classes_of(chunk.words), weights=np.bincount(chunk.codes, minlength=len(chunk.words)), minlength=CLASSES)
 
     size = _pass(chunks, 1, count).emit[:, 0]
@@ -387,7 +411,7 @@ def seed_sums(chunks: DataFrame, k: int, weight: float, starts: int, rounds: int
     sums = Sums.zero(starts * k)
     for _ in range(rounds if size.any() else 0):
         shared = chunks.sparkSession.sparkContext.broadcast((np.log(emit / emit.sum(axis=0)).astype(np.float32), prior))
-        sums = _pass(chunks, starts * k, lambda chunk, sums, shared=shared: add_mixture(*shared.value, starts, chunk, sums))
+        sums = _pass(chunks, starts * k, lambda chunk, sums, room, shared=shared: add_mixture(*shared.value, starts, chunk, sums))
         emit, prior = sums.emit + weight * share[:, None], np.log(sums.start + 1e-9)
     best = int(sums.likelihood[:starts].argmax())
     own = slice(best * k, best * k + k)
@@ -405,7 +429,7 @@ def train(chunks: DataFrame, k: int, weight: float, least_gain: float, starts: i
     seen: list[float] = []
     while size.any():
         shared = chunks.sparkSession.sparkContext.broadcast(chain)
-        sums = _pass(chunks, k, lambda chunk, sums, shared=shared: add_chunk(shared.value, chunk, sums))
+        sums = _pass(chunks, k, lambda chunk, sums, room, shared=shared: add_chunk(shared.value, chunk, sums, room))
         chain = sums.chain(share, weight)
         seen.append(float(sums.likelihood[0] / size.sum()))
         if len(seen) > 1 and seen[-1] - seen[-2] < least_gain:
@@ -420,16 +444,15 @@ def word_states(chunks: DataFrame, chain: Chain) -> DataFrame:
     names = [f"s{i}" for i in range(k)]
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model, room = shared.value, Room()
         for batch in batches:
             for _, chunk in Chunk.read(batch):
                 chunk = chunk.teaching()
                 counts = np.bincount(chunk.codes, minlength=len(chunk.words))
                 sums = Sums.zero(k, len(chunk.words))
-                Chain(model.start, model.move, model.emit[classes_of(chunk.words)]).expect(chunk.codes, chunk.offsets, sums)
+                Chain(model.start, model.move, model.emit[classes_of(chunk.words)]).expect(chunk.codes, chunk.offsets, sums, room)
                 held = np.flatnonzero(counts)
-                table = np.rint(sums.emit[held] * UNIT).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(chunk.words[held].view(np.int64)), pa.array(counts[held]), *(pa.array(np.ascontiguousarray(table[:, i])) for i in range(k))], names=["h", "c", *names])
+                yield pa.RecordBatch.from_arrays([pa.array(chunk.words[held].view(np.int64)), pa.array(counts[held]), *(pa.array(np.rint(sums.emit[held, i] * UNIT).astype(np.int64)) for i in range(k))], names=["h", "c", *names])
 
     rows = chunks.select("block", "keys", "teaches", "sizes", "words", "codes").mapInArrow(tidy(counted), "h long, c long, " + ", ".join(f"{x} long" for x in names))
     summed = rows.groupBy("h").agg(*[F.sum(x).alias(x) for x in ("c", *names)])
@@ -526,7 +549,7 @@ class Model:
             own, at = np.unique(found["h"].to_numpy().view(np.uint64), return_index=True)
             own_counts = found["c"].to_numpy()[at]
             own_sums = unpacked([found[w].to_numpy()[at] for w in packs], own_counts, k)
-            out = []
+            out, room = [], Room()
             for batch in texts.to_batches():
                 for _, chunk in Chunk.read(batch):
                     words, kinds = chunk.words, classes_of(chunk.words)
@@ -543,7 +566,7 @@ class Model:
                         chunk.keys, n,
                         np.add.reduceat((counts > 0)[chunk.codes].astype(np.int64), first),
                         np.add.reduceat(logs[chunk.codes], first) - n * base_log,
-                        np.add.reduceat(inner[chunk.codes], first) + model.likelihood(chunk.codes, chunk.offsets),
+                        np.add.reduceat(inner[chunk.codes], first) + model.likelihood(chunk.codes, chunk.offsets, room),
                     ))
             keys, n, known, base, score = zip(*out, strict=True) if out else ([],) * 5
             pa.default_memory_pool().release_unused()

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import itertools
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -82,6 +83,30 @@ def test_expected_counts_are_exact_at_any_block_size(monkeypatch, stretch, batch
     assert np.allclose(c.likelihood(np.concatenate(seqs), offsets), [plain(c, s)[3] for s in seqs])
 
 
+def test_an_expectation_writes_two_arrays_of_all_tokens():
+    """Emissions and forward variables; the backward variables of one time are all it needs, and posteriors go where emissions were."""
+    c, seq = chain(8, 5), np.random.default_rng(6).integers(0, 40, 100_000)
+    offsets, sums = np.arange(0, len(seq) + 1, 500), hmm.Sums.zero(8, 40)
+    tracemalloc.start()
+    try:
+        c.expect(seq, offsets, sums)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 3 * len(seq) * 8 * 8
+
+
+def test_arrays_left_by_one_chunk_change_nothing_in_the_next():
+    rng, room = np.random.default_rng(3), hmm.Room()
+    for k, sizes in ((4, (700, 3, 5000)), (2, (9, 1)), (4, (6000, 2)), (3, (4100,))):
+        c, seq, offsets = chain(k, k), rng.integers(0, 40, sum(sizes)), np.r_[0, np.cumsum(sizes)]
+        used, fresh = hmm.Sums.zero(k, 40), hmm.Sums.zero(k, 40)
+        c.expect(seq, offsets, used, room)
+        c.expect(seq, offsets, fresh)
+        assert all(np.array_equal(getattr(used, x), getattr(fresh, x)) for x in ("start", "move", "emit", "likelihood"))
+        assert np.array_equal(c.likelihood(seq, offsets, room), c.likelihood(seq, offsets))
+
+
 def test_chunks_come_back_as_they_were():
     chunk = hmm.Chunk.of(pa.array(["a b a", None, "", "c B"]), pa.array([1, None, 3, 4], pa.int64()), np.array([True, False, True, True]))
     ((block, back),) = hmm.Chunk.read(chunk.row(7))
@@ -128,6 +153,25 @@ def test_mixtures_side_by_side_are_like_each_alone():
         assert np.allclose(both.emit[:, own], emit) and np.allclose(both.start[own], start) and np.isclose(both.likelihood[i], total)
 
 
+@pytest.mark.parametrize("common", [1, 3, 512])
+def test_common_and_other_classes_of_a_mixture_add_up(monkeypatch, common):
+    """Classes in the table of texts and those counted by token give what counting every token gives."""
+    monkeypatch.setattr(hmm, "COMMON", common)
+    rng = np.random.default_rng(4)
+    texts = ["", *(" ".join(f"w{x}" for x in rng.zipf(1.3, n) % 300) for n in (1, 4, 60, 900, 33, 7))]
+    chunk = hmm.Chunk.of(pa.array(texts))
+    logs, prior = np.log(rng.dirichlet(np.ones(hmm.CLASSES), 3).T), np.log([0.2, 0.5, 0.3])
+    sums, emit, start, total = hmm.Sums.zero(3), np.zeros((hmm.CLASSES, 3)), np.zeros(3), 0.0
+    hmm.add_mixture(logs, prior, 1, chunk, sums)
+    for a, b in zip(chunk.offsets, chunk.offsets[1:], strict=False):
+        text = hmm.classes_of(chunk.words)[chunk.codes[a:b]]
+        fit = prior + logs[text].sum(axis=0)
+        post = np.exp(fit - fit.max())
+        total, start = total + (fit.max() + np.log(post.sum())) / np.log(10), start + post / post.sum()
+        np.add.at(emit, text, np.where(post / post.sum() >= 1e-4, post / post.sum(), 0))
+    assert np.allclose(sums.emit, emit) and np.allclose(sums.start, start) and np.isclose(sums.likelihood[0], total)
+
+
 @pytest.mark.parametrize("head", [2, 1 << 18])
 def test_base_and_odd_rows(spark, monkeypatch, head):
     """With a table of two common words, nearly all counts come through the join."""
